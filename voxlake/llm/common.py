@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.session import ship
@@ -43,3 +44,8 @@ def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFra
 def table(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
     """A record batch from named (values, type) pairs."""
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in columns.values()], names=list(columns))
+
+
+def packed(names: list[str]) -> Column:
+    """A struct of columns, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in names))

@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 UNIGRAM_FILE = "piece_bpe_32k.model"
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.quality_rules import quality_verdicts
+
+    return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxlake.llm.token_count import token_counts
 
@@ -17,7 +23,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_token_counts,)}
+    return {f.__name__: f for f in (op4_quality_rules, op9_token_counts,)}
 
 
 def oracle_sql() -> dict[str, str]:
