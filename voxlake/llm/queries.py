@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 UNIGRAM_FILE = "piece_bpe_32k.model"
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.url_filter import RULES, judge_urls
+
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxlake.llm.quality_rules import quality_verdicts
 
@@ -23,7 +29,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality_rules, op9_token_counts,)}
+    return {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op9_token_counts,)}
 
 
 def oracle_sql() -> dict[str, str]:
