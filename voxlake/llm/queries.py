@@ -22,6 +22,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.warc import archive_round_trip
+
+    out = archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxlake.llm.token_count import token_counts
 
@@ -29,7 +36,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op9_token_counts,)}
+    return {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op5_warc_bundles, op9_token_counts,)}
 
 
 def oracle_sql() -> dict[str, str]:
