@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+BPE_FILE = "byte_bpe_50k.json"
 UNIGRAM_FILE = "piece_bpe_32k.model"
 
 
@@ -16,6 +17,13 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), RULES)
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.packing import pack_documents
+
+    out = pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BPE_FILE))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxlake.llm.quality_rules import quality_verdicts
 
@@ -36,7 +44,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op4_quality_rules, op5_warc_bundles, op9_token_counts,)}
+    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op4_quality_rules, op5_warc_bundles, op9_token_counts,)}
 
 
 def oracle_sql() -> dict[str, str]:
