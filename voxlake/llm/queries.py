@@ -24,6 +24,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.token_bin import token_files_round_trip
+
+    return token_files_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(BPE_FILE))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxlake.llm.quality_rules import quality_verdicts
 
@@ -44,7 +50,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op4_quality_rules, op5_warc_bundles, op9_token_counts,)}
+    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_token_files, op4_quality_rules, op5_warc_bundles, op9_token_counts,)}
 
 
 def oracle_sql() -> dict[str, str]:
