@@ -43,6 +43,19 @@ def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.line_dedup import drop_boilerplate
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return drop_boilerplate(docs, docs["source"]).select("row.doc_id", "text", "n_lines", "n_removed")
+
+
+def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxlake.llm.token_count import token_counts
 
@@ -50,8 +63,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_token_files, op4_quality_rules, op5_warc_bundles, op9_token_counts,)}
+    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_token_files, op4_quality_rules, op5_warc_bundles, op6_line_dedup, op9_token_counts, op10_simhash_components,)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from voxlake.llm import line_dedup
+
+    return {"op6_line_dedup": line_dedup.ORACLE}
