@@ -74,13 +74,13 @@ def dedup_lines(docs: DataFrame, host: Column, text_column: str = "text") -> Dat
 
 
 ORACLE = """
-WITH keys AS (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), x -> trim(x)))) AS k FROM documents),
+WITH keys AS (SELECT source, unnest(list_distinct(list_transform(string_split(text, chr(10)), lambda x: trim(x)))) AS k FROM documents),
 counts AS (SELECT source, k, count(*) AS n FROM keys WHERE k <> '' GROUP BY ALL),
 totals AS (SELECT source, count(*) AS total FROM documents GROUP BY ALL),
 lists AS (SELECT c.source, list(k) AS ks FROM counts c JOIN totals t ON c.source IS NOT DISTINCT FROM t.source
           WHERE n >= 5 AND n::DOUBLE / total > 0.05::DOUBLE GROUP BY ALL),
 kept AS (SELECT doc_id, text, CASE WHEN ks IS NULL THEN string_split(text, chr(10))
-          ELSE list_filter(string_split(text, chr(10)), x -> NOT list_contains(ks, trim(x))) END AS ls
+          ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(ks, trim(x))) END AS ls
          FROM documents d LEFT JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(array_to_string(ls, chr(10)), '') END AS text,
        coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines,
