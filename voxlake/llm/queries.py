@@ -62,6 +62,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op8_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voxlake.llm.quality_cnn import quality_scores
+
+    return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voxlake.llm.token_count import token_counts
 
@@ -69,7 +75,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_token_files, op4_quality_rules, op5_warc_bundles, op6_line_dedup, op7_decontamination, op9_token_counts, op10_simhash_components,)}
+    return {f.__name__: f for f in (op1_url_filter, op2_best_fit_packing, op3_token_files, op4_quality_rules, op5_warc_bundles, op6_line_dedup, op7_decontamination, op8_quality_network, op9_token_counts, op10_simhash_components,)}
 
 
 def oracle_sql() -> dict[str, str]:
