@@ -107,14 +107,18 @@ def crop_blocks(blocks: DataFrame, offset: tuple[int, int, int], size: tuple[int
     out = blocks
     for a, o, s in zip("xyz", offset, size, strict=True):
         out = out.where((F.col(f"o{a}") < o + s) & (F.col(f"o{a}") + F.col(f"s{a}") > o))
-    begin = {a: F.greatest(F.lit(o) - F.col(f"o{a}"), F.lit(0)) for a, o in zip("xyz", offset, strict=True)}
-    end = {a: F.least(F.lit(o + s) - F.col(f"o{a}"), F.col(f"s{a}")) for a, o, s in zip("xyz", offset, size, strict=True)}
+    # the cut's begin and size get columns of their own: names inside a lambda must not be redefined beside it
+    for a, o, s in zip("xyz", offset, size, strict=True):
+        low = F.greatest(F.lit(o) - F.col(f"o{a}"), F.lit(0))
+        out = out.withColumns({f"_b{a}": low, f"_n{a}": F.least(F.lit(o + s) - F.col(f"o{a}"), F.col(f"s{a}")) - low})
+    b, n = ({a: F.col(f"_{k}{a}") for a in "xyz"} for k in "bn")
     rows = F.transform(
-        F.sequence(begin["z"], end["z"] - 1),
-        lambda z: F.flatten(F.transform(F.sequence(begin["y"], end["y"] - 1), lambda y: F.slice("data", (z * F.col("sy") + y) * F.col("sx") + begin["x"] + 1, end["x"] - begin["x"]))),
+        F.sequence(b["z"], b["z"] + n["z"] - 1),
+        lambda z: F.flatten(F.transform(F.sequence(b["y"], b["y"] + n["y"] - 1), lambda y: F.slice("data", (z * F.col("sy") + y) * F.col("sx") + b["x"] + 1, n["x"]))),
     )
-    new = {f"o{a}": F.col(f"o{a}") + begin[a] for a in "xyz"} | {f"s{a}": end[a] - begin[a] for a in "xyz"}
-    return out.withColumns({"data": F.flatten(rows)} | new)
+    out = out.withColumn("data", F.flatten(rows))
+    out = out.withColumns({f"o{a}": F.col(f"o{a}") + b[a] for a in "xyz"} | {f"s{a}": n[a] for a in "xyz"})
+    return out.drop(*(f"_{k}{a}" for k in "bn" for a in "xyz"))
 
 
 def explode_blocks(blocks: DataFrame) -> DataFrame:
