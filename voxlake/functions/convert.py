@@ -21,7 +21,7 @@ SPARK_TYPES = {"byte": "tinyint", "short": "smallint", "ushort": "int", "ubyte":
 
 def over_block(data: Column, f: Callable[[Column], Column]) -> Column:
     """Apply a conversion to every voxel of a block's array."""
-    return F.transform(data, f)
+    return F.transform(data, lambda v: f(v))
 
 
 def to_float(v: Column) -> Column:
@@ -35,7 +35,7 @@ def narrow_float(v: Column, target: str, rounding: str = "trunc") -> Column:
     d = v.cast("double")
     d = F.rint(d) if rounding == "half_even" else d
     inside = F.least(F.greatest(d, F.lit(float(low))), F.lit(float(high)))
-    return F.when(F.isnan(d), F.lit(0).cast(SPARK_TYPES[target])).otherwise(inside.cast(SPARK_TYPES[target]))
+    return F.when(F.isnan(d), F.lit(0).cast(SPARK_TYPES[target])).when(d.isNotNull(), inside.cast(SPARK_TYPES[target]))
 
 
 def float_to_i16(v: Column, rounding: str = "trunc") -> Column:
@@ -53,7 +53,7 @@ def float_to_i8(v: Column, rounding: str = "trunc") -> Column:
 def clamp_int(v: Column, target: str) -> Column:
     """Integer to integer with clamping, without a float between."""
     low, high = RANGES[target]
-    return F.least(F.greatest(v.cast("int"), F.lit(low)), F.lit(high)).cast(SPARK_TYPES[target])
+    return F.when(v.isNotNull(), F.least(F.greatest(v.cast("int"), F.lit(low)), F.lit(high)).cast(SPARK_TYPES[target]))
 
 
 @pandas_udf(T.FloatType())

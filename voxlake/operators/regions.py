@@ -133,3 +133,11 @@ def downsample(voxels: DataFrame, factor: int) -> DataFrame:
     """Mean of blocks of factor voxels a side (``rescale --down``)."""
     keys = [_int_div(a, factor).alias(a) for a in "zyx"]
     return voxels.groupBy(*keys).agg(F.avg(F.col("value").cast("double")).alias("value"))
+
+
+def section_blocks(voxels: DataFrame, nx: int, ny: int) -> DataFrame:
+    """Block rows of one whole section each from voxels (path, z, y, x, value); a section's voxels meet in one group."""
+    cell = F.struct(linear_index(F.col("x"), F.col("y"), F.lit(0), nx, ny).alias("i"), F.col("value"))
+    grouped = voxels.groupBy("path", F.col("z").alias("oz")).agg(F.transform(F.array_sort(F.collect_list(cell)), lambda c: c["value"]).alias("data"))
+    zero, one = F.lit(0), F.lit(1)
+    return grouped.select("path", zero.alias("ox"), zero.alias("oy"), "oz", F.lit(nx).alias("sx"), F.lit(ny).alias("sy"), one.alias("sz"), "data")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from voxlake.plans import queries
+from voxlake.plans import file_queries, queries
 
-QUERIES = dict(queries.QUERIES)
-SQL = dict(queries.SQL)
+QUERIES = queries.QUERIES | file_queries.QUERIES
+SQL = queries.SQL | file_queries.SQL
