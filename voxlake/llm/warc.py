@@ -110,9 +110,10 @@ def parse_record(raw: bytes) -> Record:
 class BundleWriter:
     """Writes one bundle."""
 
-    def __init__(self, sink: io.RawIOBase) -> None:
+    def __init__(self, sink: io.RawIOBase, frame_bytes: int = FRAME_BYTES) -> None:
         import zstandard
 
+        self.frame_bytes = frame_bytes
         self.sink, self.compressor = sink, zstandard.ZstdCompressor(level=LEVEL, write_checksum=True)
         self.frames: list[tuple[int, int]] = []
         self.index: list[tuple[str, int, int, int]] = []
@@ -120,7 +121,7 @@ class BundleWriter:
         self.held_bytes = self.total = 0
 
     def add(self, identifier: str, record: bytes) -> None:
-        if self.held and self.held_bytes + len(record) > FRAME_BYTES:
+        if self.held and self.held_bytes + len(record) > self.frame_bytes:
             self.flush()
         self.index.append((identifier, len(self.frames), self.held_bytes, len(record)))
         self.held.append(record)
@@ -197,7 +198,7 @@ def with_refers_to(pages: DataFrame, id_column: str, payload_column: str, least_
     return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", payload_column: str = "html", least_bytes: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", payload_column: str = "html", least_bytes: int = 0, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write a record for every row; returns (path, n_records) of each file, already written.
 
     Of equal payloads of at least ``least_bytes`` bytes, that with the largest id is a response
@@ -226,7 +227,7 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", pa
                 page, url, payload, refers = (c[i].as_py() for c in columns)
                 if writer is None:
                     temporary = f"{base}/_{uuid.uuid4().hex}"
-                    writer = BundleWriter(fs.open_output_stream(temporary))
+                    writer = BundleWriter(fs.open_output_stream(temporary), frame_bytes)
                     writer.name = temporary
                 writer.add(record_id(page), warc_record(page, url, payload, refers))
                 if writer.total >= FILE_BYTES:
