@@ -9,13 +9,17 @@ search adds up the differences from the root down, over the bits that each node
 leaves a whole run once there are too many. Runs that are already in the query's component
 are left as well: a dense group costs few comparisons.
 
+Near duplicates of lower similarity are found in the same index over wider fingerprints, dealt by
+samples of their bits: a pair meets in one of many tables with a stated probability.
+
 Each task returns, for each fingerprint, one edge to its component's first one (no pairs).
 Components of these edges come from alternating large- and small-star steps.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +41,13 @@ FAN = 8
 #: Comparisons of queries with leaves that a step of the search may have to hold.
 STEP_PAIRS = 1 << 21
 SHINGLE_RUN = 1 << 15
+#: For near duplicates of at least this similarity (Jaccard, of shingles): wide fingerprints, and the bits that they may
+#: differ in. At 0.8, 39 of 256 bits are expected to differ (deviation 6), at 0.7 49 (6), without common shingles 128 (8).
+MIN_SIMILARITY = 0.8
+WIDE_BITS = 256
+WIDE_RADIUS = 44
+RECALL = 0.99
+FINER_BITS, FINER_TABLES = 6, 12
 
 
 def fingerprint(text: str | None, shingle: int) -> int:
@@ -57,6 +68,38 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def wide_fingerprint(text: str | None, shingle: int) -> bytes:
+    """WIDE_BITS bits, by XXH3 with several seeds; zeros without words."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    if not words:
+        return bytes(WIDE_BITS // 8)
+    n = max(1, len(words) - shingle + 1)
+    ones = np.zeros(WIDE_BITS, dtype=np.int64)
+    h = xxhash.xxh3_128_digest
+    for lo in range(0, n, SHINGLE_RUN):
+        hi = min(n, lo + SHINGLE_RUN)
+        columns = [words[lo + k : hi + k] for k in range(min(shingle, len(words)))]
+        joined = [b" ".join(s) for s in zip(*columns, strict=True)]
+        raw = [h(s, seed) for s in joined for seed in range(WIDE_BITS // 128)]
+        bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(joined), -1), axis=1)
+        ones += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n).tobytes()
+
+
+def with_wide_fingerprint(docs: DataFrame, text: Column, carry: Column, shingle: int) -> DataFrame:
+    """``row`` (as carried) and ``fp``, the wide fingerprint as bytes, of every row."""
+    ready = docs.select(carry.alias("row"), text.alias("text"))
+    kind = T.StructType([ready.schema["row"], T.StructField("fp", T.BinaryType())])
+
+    def each(batch: pa.RecordBatch):
+        for part in runs(batch, 1):
+            yield table({"row": (part.column(0), None), "fp": ([wide_fingerprint(t, shingle) for t in part.column(1).to_pylist()], pa.binary())})
+
+    return map_arrow(ready, each, kind)
+
+
 def with_fingerprint(docs: DataFrame, text: Column, carry: Column, shingle: int) -> DataFrame:
     """``row`` (as carried) and ``fp``, the fingerprint as a signed 64-bit integer, of every row."""
     ready = docs.select(carry.alias("row"), text.alias("text"))
@@ -71,41 +114,52 @@ def with_fingerprint(docs: DataFrame, text: Column, carry: Column, shingle: int)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
-    """Place of each code word in the reflected Gray sequence."""
+    """Place of each code word in the reflected Gray sequence; words of a row (last axis) are one long code word."""
     out = x.copy()
     for s in (1, 2, 4, 8, 16, 32):
         out ^= out >> np.uint64(s)
+    for k in range(1, out.shape[-1] if out.ndim > 1 else 0):
+        out[:, k] ^= np.uint64(0) - (out[:, k - 1] & np.uint64(1))
     return out
 
 
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect, within each key, the fingerprints that differ in at most ``radius`` bits: each to its component's first."""
-    order = np.lexsort((gray_rank(fps), keys))
-    keys, fps = keys[order], fps[order]
-    n = len(fps)
-    # levels of the index: first leaf, end leaf, bits set in all and in any leaf below
-    first = np.arange(n)
-    group = np.cumsum(np.diff(keys, prepend=keys[:1]) != 0) if n else first
-    levels = [(first, first + 1, fps, fps)]
+    """Edges that connect, within each key, the fingerprints that differ in at most ``radius`` bits: each to its component's first.
+
+    ``fps`` holds one 64-bit word a fingerprint, or a row of words.
+    """
+    wide = fps.reshape(len(fps), -1)
+    ranks = gray_rank(wide)
+    order = np.lexsort((*ranks.T[::-1], keys))
+    keys, wide = keys[order], wide[order]
+    n = len(wide)
+    # levels of the index: end leaf of each node, bits set in all and in any leaf below
+    leaf = np.arange(n)
+    group = np.cumsum(np.diff(keys, prepend=keys[:1]) != 0) if n else leaf
+    levels = [(leaf + 1, wide, wide)]
     parents: list[np.ndarray] = []
     of = group
     while len(of) and np.any(of[1:] == of[:-1]):
         starts = np.flatnonzero(np.diff(of, prepend=-1))
         inside = np.arange(len(of)) - np.repeat(starts, np.diff(starts, append=len(of)))
         head = np.flatnonzero(inside % FAN == 0)
-        lo, hi, every, some = levels[-1]
+        hi, every, some = levels[-1]
         parents.append(head)
-        levels.append((lo[head], hi[np.append(head[1:], len(of)) - 1], np.bitwise_and.reduceat(every, head), np.bitwise_or.reduceat(some, head)))
+        levels.append((hi[np.append(head[1:], len(of)) - 1], np.bitwise_and.reduceat(every, head), np.bitwise_or.reduceat(some, head)))
         of = of[head]
     label = np.arange(n)
     if len(levels) == 1:
         return fps[:0], fps[:0]
-    shared = [~(some ^ every) for _, _, every, some in levels]
+    shared = [~(some ^ every) for _, every, some in levels]
     size = np.bincount(group)[group]
     ends = np.cumsum(size)
     at = 0
     while at < n:
-        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + STEP_PAIRS, side="right")))
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - size[at] + STEP_PAIRS // wide.shape[1], side="right")))
         # the component of a node's leaves, or -1 where they have several
         uniform = [label]
         for head in parents:
@@ -115,9 +169,9 @@ def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tupl
         q = q[size[q] > 1]
         node = group[q]
         top = len(levels) - 1
-        differ = np.bitwise_count((fps[q] ^ levels[top][2][node]) & shared[top][node]).astype(np.int64)
+        differ = _bits((wide[q] ^ levels[top][1][node]) & shared[top][node])
         for level in range(top, -1, -1):
-            keep = (differ <= radius) & (levels[level][1][node] > q + 1) & (uniform[level][node] != label[q])
+            keep = (differ <= radius) & (levels[level][0][node] > q + 1) & (uniform[level][node] != label[q])
             q, node, differ = q[keep], node[keep], differ[keep]
             if level == 0 or not len(q):
                 break
@@ -125,14 +179,15 @@ def link_groups(keys: np.ndarray, fps: np.ndarray, radius: int = RADIUS) -> tupl
             begin = head[node]
             count = np.append(head[1:], len(levels[level - 1][0]))[node] - begin
             child = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())
-            fresh = shared[level - 1][child] & ~np.repeat(shared[level][node], count)
+            fresh = shared[level - 1][child] & ~np.repeat(shared[level][node], count, axis=0)
             q, differ = np.repeat(q, count), np.repeat(differ, count)
-            differ = differ + np.bitwise_count((fps[q] ^ levels[level - 1][2][child]) & fresh)
+            differ = differ + _bits((wide[q] ^ levels[level - 1][1][child]) & fresh)
             node = child
         label = _join(label, q, node)
         at = upto
     away = np.flatnonzero(label != np.arange(n))
-    return fps[away], fps[label[away]]
+    out = wide if fps.ndim > 1 else wide[:, 0]
+    return out[away], out[label[away]]
 
 
 def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -200,6 +255,80 @@ def edges_within(nodes: DataFrame) -> DataFrame:
     return rows.repartition(parts, "key").mapInArrow(each, "u long, v long").distinct()
 
 
+def sample_plan(n: int) -> tuple[int, int]:
+    """(bits, tables) for n fingerprints: keys long enough that a group stays small, and tables enough that a pair
+    with the distance that is expected at the least similarity meets in one with a probability of RECALL."""
+    bits = max(12, n.bit_length() - 6)
+    agree = 1 - math.acos(2 * MIN_SIMILARITY / (1 + MIN_SIMILARITY)) / math.pi
+    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits))
+
+
+def _sampled(raw: np.ndarray, picks: np.ndarray) -> np.ndarray:
+    """For each fingerprint and each table, the number that its picked bits make."""
+    bits = np.unpackbits(raw, axis=1)
+    weights = 1 << np.arange(picks.shape[1], dtype=np.int64)
+    return np.stack([bits[:, p].astype(np.int64) @ weights for p in picks], axis=1)
+
+
+def edges_by_samples(nodes: DataFrame) -> DataFrame:
+    """(u, v): edges that connect wide fingerprints ``fp`` that differ in at most WIDE_RADIUS bits and agree in the bits of a table.
+
+    Groups of more than LARGE_GROUP are dealt again by further bits, in tables of their own.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    n = nodes.count()
+    bits, tables = sample_plan(n)
+    r = np.random.default_rng(20_241)
+    picks = np.stack([r.permutation(WIDE_BITS)[:bits] for _ in range(tables)])
+    finer = np.stack([r.permutation(WIDE_BITS)[:FINER_BITS] for _ in range(FINER_TABLES)])
+
+    def deal(batch: pa.RecordBatch):
+        if not batch.num_rows:
+            return
+        fp = batch.column(0)
+        raw = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(len(fp), -1)
+        for lo in range(0, len(raw), 4096):
+            keys = _sampled(raw[lo : lo + 4096], picks) * tables + np.arange(tables)
+            yield table({"fp": (fp.slice(lo, 4096).take(pa.array(np.repeat(np.arange(len(keys)), tables))), None), "k0": (keys.ravel(), pa.int64()), "k1": (np.zeros(keys.size, np.int64), pa.int64())})
+
+    def deal_again(batch: pa.RecordBatch):
+        if not batch.num_rows:
+            return
+        raw = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        for lo in range(0, len(raw), 4096):
+            keys = _sampled(raw[lo : lo + 4096], finer) * FINER_TABLES + np.arange(FINER_TABLES) + 1
+            of = pa.array(np.repeat(np.arange(len(keys)), FINER_TABLES))
+            part = batch.slice(lo, 4096)
+            yield table({"fp": (part.column(0).take(of), None), "k0": (part.column(1).take(of), None), "k1": (keys.ravel(), pa.int64())})
+
+    schema = "fp binary, k0 long, k1 long"
+    rows = map_arrow(nodes.select("fp"), deal, schema)
+    large = cut(rows.groupBy("k0").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_GROUP).select(F.col("k0").alias("large_key")))
+    n_large = large.limit(BROADCAST_GROUPS + 1).count()
+    if n_large:
+        right = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+        marked = rows.join(right, F.col("k0") == F.col("large_key"), "left")
+        again = map_arrow(marked.where(F.col("large_key").isNotNull()).select("fp", "k0", "k1"), deal_again, schema)
+        rows = marked.where(F.col("large_key").isNull()).select("fp", "k0", "k1").unionByName(again)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 250_000)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b"".join(b.column(0).to_pylist()), np.asarray(b.column(1)), np.asarray(b.column(2))) for b in batches if b.num_rows]
+        if not held:
+            return
+        k0, k1 = (np.concatenate([h[i] for h in held]) for i in (1, 2))
+        fps = np.frombuffer(b"".join(h[0] for h in held), ">u8").reshape(len(k0), -1).astype(np.uint64)
+        order = np.lexsort((k1, k0))
+        k0, k1, fps = k0[order], k1[order], fps[order]
+        group = np.cumsum((np.diff(k0, prepend=k0[:1]) != 0) | (np.diff(k1, prepend=k1[:1]) != 0))
+        u, v = (x.astype(">u8") for x in link_groups(group, fps, WIDE_RADIUS))
+        for lo in range(0, len(u), 50_000):
+            yield table({c: ([x.tobytes() for x in w[lo : lo + 50_000]], pa.binary()) for c, w in (("u", u), ("v", v))})
+
+    return rows.repartition(parts, "k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that is not its component's least node, by alternating star steps."""
 
@@ -224,10 +353,10 @@ def star_components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def components(rows: DataFrame) -> DataFrame:
+def components(rows: DataFrame, edges: Callable[[DataFrame], DataFrame] = edges_within) -> DataFrame:
     """Add ``component`` to rows of (id, fp): the least id reachable by links, its own included; null ids are no candidates."""
     nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
-    roots = star_components(edges_within(nodes))
+    roots = star_components(edges(nodes))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     firsts = members.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "first")
     least = firsts.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "of_root")
@@ -250,11 +379,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component the row with the least id (nulls last)."""
+    """The rows of ``docs`` without near duplicates: of each component the row with the least id (nulls last).
+
+    Near duplicates share 0.8 or more of their shingles. At that similarity 64-bit fingerprints
+    differ in ten bits, not three, so wide ones are compared, within WIDE_RADIUS bits.
+    """
     numbered = docs.select(packed(docs.columns).alias("row"), F.monotonically_increasing_id().alias("n"))
     carried = F.struct("row", "n")
-    staged = stage(with_fingerprint(numbered, F.col("row").getField(text_column), carried, shingle), "fingerprints")
+    staged = stage(with_wide_fingerprint(numbered, F.col("row").getField(text_column), carried, shingle), "fingerprints")
     order = F.struct(F.col("row.row").getField(id_column).isNull().alias("none"), F.col("row.row").getField(id_column).alias("key"), F.col("row.n").alias("n"))
-    found = components(cut(staged.select(order.alias("id"), "fp")))
+    found = components(cut(staged.select(order.alias("id"), "fp")), edges_by_samples)
     kept = found.where(F.col("id.n") == F.col("component.n")).select(F.col("id.n").alias("kept_n"))
     return staged.join(kept, F.col("row.n") == F.col("kept_n"), "left_semi").select("row.row.*")
