@@ -111,3 +111,30 @@ def test_many_files_and_binary_column(spark, tmp_path):
     assert read_voxels(spark, str(tmp_path)).groupBy("path").count().count() == 3
     rows = decode_binary(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert len(rows) == 6 and all(len(r.data) == 4 for r in rows)
+
+
+def test_permissive_reports_unusable_files(spark, tmp_path):
+    from voxlake.operators import tools
+    from voxlake.operators.validate import roll_up
+
+    put(tmp_path, "bad.mrc", bytes(1024))
+    put(tmp_path, "worse.mrc", b"abc")
+    put(tmp_path, "good.mrc", volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], dmin=1.0, dmax=4.0, dmean=2.5, rms=1.118))
+    rows = {r.path.rsplit("/")[-1]: r for r in read_headers(spark, str(tmp_path), mode="PERMISSIVE").collect()}
+    assert rows["bad.mrc"].header is None and "InvalidDimensions" in rows["bad.mrc"].warnings[0] and rows["good.mrc"].header.nx == 2
+    got = {r.path.rsplit("/")[-1]: r.is_valid for r in roll_up(tools.validate(spark, str(tmp_path))).collect()}
+    assert got == {"bad.mrc": False, "worse.mrc": False, "good.mrc": True}
+    with pytest.raises(Exception, match="InvalidDimensions|header"):
+        read_headers(spark, str(tmp_path)).collect()
+
+
+def test_header_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from voxlake.functions import header as H
+
+    imod = bytes(56) + b"IMOD" + bytes(4) + b"\1\0"
+    p = put(tmp_path, "v.mrc", volume(3, 2, 1, 0, [1, 2, 3, 4, 5, 6], extra=imod))
+    h = read_headers(spark, p)
+    row = h.select(H.header_tuples(F.col("header")).alias("t"), F.from_json(H.header_json(F.col("header")), H.HEADER_TYPE).alias("j"), "header", "imod", "m0_unsigned").first()
+    assert row.t.sampling == [3, 2, 1] and row.j == row.header and row.imod.type == "Tilt" and row.m0_unsigned

@@ -186,7 +186,12 @@ def imod_fields(h: Header) -> dict | None:
     }
 
 
-IMOD_TYPE = "struct<flags:int,type:string,tilt_axis:int,tilt_increment:double,start_angle:double,original_angles:array<double>,current_angles:array<double>,origin:array<double>,cell:array<double>>"
+_TRIPLE = T.ArrayType(T.DoubleType())
+IMOD_TYPE = T.StructType(
+    [T.StructField("flags", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("tilt_axis", T.IntegerType())]
+    + [T.StructField(n, T.DoubleType()) for n in ("tilt_increment", "start_angle")]
+    + [T.StructField(n, _TRIPLE) for n in ("original_angles", "current_angles", "origin", "cell")]
+)
 
 # column functions
 
@@ -202,6 +207,17 @@ def cell_volume(a: Column, b: Column, c: Column, alpha: Column, beta: Column, ga
     return F.when((a <= 0) | (b <= 0) | (c <= 0), F.lit(0.0)).otherwise(a.cast("double") * b.cast("double") * c.cast("double") * root)
 
 
+def header_tuples(h: Column) -> Column:
+    """nstart, cell lengths and angles, sampling and density statistics of a header column, as arrays."""
+    groups = {"nstart": ("nxstart", "nystart", "nzstart"), "cell_lengths": ("xlen", "ylen", "zlen"), "cell_angles": ("alpha", "beta", "gamma"), "sampling": ("mx", "my", "mz"), "density_stats": ("dmin", "dmax", "dmean", "rms")}
+    return F.struct(*(F.array(*(h.getField(n) for n in names)).alias(g) for g, names in groups.items()))
+
+
+def header_json(h: Column) -> Column:
+    """A header column as JSON; ``F.from_json(text, HEADER_TYPE)`` reads it back."""
+    return F.to_json(h)
+
+
 def is_volume_stack(ispg: Column) -> Column:
     return ispg.between(400, 630)
 

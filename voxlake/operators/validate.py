@@ -126,7 +126,7 @@ def header_issues(volumes: DataFrame) -> DataFrame:
         F.transform("warnings", lambda w: issue("Warning", "Open", w)),
         F.array(F.when(is_valid_header(), issue("Info", "Header", F.lit("Structure is valid"))).otherwise(issue("Error", "Header", first_message()))),
         F.array(F.when(total.isNotNull(), issue("Info", "File size", _text("Expected ", total, " bytes")))),
-        F.array(F.when(~_c("standard_stamp"), issue("Warning", "Endianness", F.lit("Non-standard MACHST stamp")))),
+        F.array(F.when(~F.coalesce(_c("standard_stamp"), F.lit(True)), issue("Warning", "Endianness", F.lit("Non-standard MACHST stamp")))),
         F.array(issue("Info", "Endianness", _text(_c("endian"), "-endian"))),
         F.array(F.when(kind == "volume stack", issue("Info", "Volume", _text("Stack of ", F.expr("coalesce(try_divide(nz, mz), 0)").cast("int"), " volumes of ", _c("mz"), " sections")))),
         F.array(issue("Info", "Volume", _text(_c("nx"), " x ", _c("ny"), " x ", _c("nz"), " voxels, ", kind))),

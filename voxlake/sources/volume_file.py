@@ -32,21 +32,35 @@ def sniff(raw: bytes) -> str:
     return {b"\x1f\x8b": "gzip", b"BZ": "bzip2"}.get(raw[:2], "plain")
 
 
-def decompress(raw: io.IOBase, compression: str, limit: int) -> bytes:
-    """The whole content, or an error beyond ``limit`` bytes; never holds more than that."""
-    stream = gzip.GzipFile(fileobj=raw) if compression == "gzip" else bz2.BZ2File(raw)
+PIECE = 16 << 20
+
+
+def decompressor(raw: io.IOBase, compression: str) -> io.IOBase:
+    return gzip.GzipFile(fileobj=raw) if compression == "gzip" else bz2.BZ2File(raw)
+
+
+def read_some(stream: io.IOBase, n: int) -> bytes:
+    """n bytes of a decompressing stream, or what is left, piece by piece."""
     pieces, held = [], 0
     try:
-        while held <= limit and (piece := stream.read(min(16 << 20, limit + 1 - held))):
+        while held < n and (piece := stream.read(min(PIECE, n - held))):
             pieces.append(piece)
             held += len(piece)
     except (OSError, EOFError, zlib.error) as e:
         raise E.VolumeIOError(f"cannot decompress: {e}") from e
-    if held > limit:
-        raise E.VolumeIOError(f"decompressed data exceeds {limit} bytes")
     return b"".join(pieces)
 
 
+def decompressed_size(stream: io.IOBase, limit: int) -> int:
+    """Bytes of the whole content, which is not held; an error beyond ``limit``."""
+    size = 0
+    while piece := len(read_some(stream, min(PIECE, limit + 1 - size))):
+        size += piece
+        if size > limit:
+            raise E.VolumeIOError(f"decompressed data exceeds {limit} bytes")
+    return size
+
+
 def strict_problem(h: Header) -> tuple[str, str] | None:
     """The first strict header rule that fails, as (code, message); the column rules in ``operators.validate`` in plain values."""
     v = h.values
@@ -182,40 +196,51 @@ def convert_box(box: np.ndarray, mode: Mode, target: str, strategy: str = "magni
     return np.trunc(np.clip(wide, low, high)).astype(kind)
 
 
+def _sources(path: str, content: bytes | None) -> tuple[io.IOBase, int]:
+    if content is not None:
+        return io.BytesIO(content), len(content)
+    fs, local = open_fs(path)
+    source = fs.open_input_file(local)
+    return source, source.size()
+
+
+def peek_volume(path: str, compression: str = "auto") -> Volume:
+    """Only the header, for planning: a compressed file is not decompressed any further."""
+    source, size = _sources(path, None)
+    first = source.read(2)
+    source.seek(0)
+    kind = sniff(first) if compression == "auto" else {"none": "plain"}.get(compression, compression)
+    raw = source.read(HEADER_BYTES) if kind == "plain" else read_some(decompressor(source, kind), HEADER_BYTES)
+    return Volume(path, decode_header(raw), kind, size, None)
+
+
 def open_volume(path: str, permissive: bool = False, compression: str = "auto", limit: int = MAX_DECOMPRESSED, content: bytes | None = None) -> Volume:
-    """Open a file, or the bytes in ``content``; compression is recognised in either."""
-    if content is None:
-        fs, local = open_fs(path)
-        source = fs.open_input_file(local)
-        size = source.size()
-
-        def read(offset: int, n: int) -> bytes:
-            if offset >= size or n <= 0:
-                return b""
-            source.seek(offset)
-            return source.read(n)
-    else:
-        size = len(content)
-
-        def read(offset: int, n: int) -> bytes:
-            return bytes(content[offset : offset + n])
-
-    kind = sniff(read(0, 2)) if compression == "auto" else {"none": "plain"}.get(compression, compression)
+    """Open a file, or the bytes in ``content``; compression is recognised in either.
+
+    A compressed file is passed through once for its size and again, forwards, for what is
+    read from it; it is never held whole.
+    """
+    source, size = _sources(path, content)
+    first = source.read(2)
+    source.seek(0)
+    kind = sniff(first) if compression == "auto" else {"none": "plain"}.get(compression, compression)
+    stream = source
     if kind != "plain":
-        if content is None:
-            source.seek(0)
-        plain = decompress(io.BytesIO(content) if content is not None else source, kind, limit)
-        size = len(plain)
+        size = decompressed_size(decompressor(source, kind), limit)
+        source.seek(0)
+        stream = decompressor(source, kind)
 
-        def read(offset: int, n: int) -> bytes:
-            return plain[offset : offset + n]
+    def read(offset: int, n: int) -> bytes:
+        if offset >= size or n <= 0:
+            return b""
+        stream.seek(offset)
+        return read_some(stream, min(n, size - offset))
 
     h = decode_header(read(0, HEADER_BYTES))
     problem = strict_problem(h)
     warnings = list(h.warnings)
     if problem and (not permissive or problem[0] in ("InvalidDimensions", "UnsupportedMode")):
-        kinds = {"UnsupportedMode": E.UnsupportedMode}
-        raise kinds[problem[0]](f"mode {h.mode}") if problem[0] in kinds else E.InvalidHeaderDetailed(*problem)
+        raise E.UnsupportedMode(f"mode {h.mode}") if problem[0] == "UnsupportedMode" else E.InvalidHeaderDetailed(*problem)
     if permissive:
         warnings += permissive_warnings(h)
     if h.mode == 0 and h.imod_unsigned():

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import glob
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +28,16 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from voxlake import errors as E
-from voxlake.functions.header import HEADER_TYPE
+from voxlake.functions.header import HEADER_TYPE, IMOD_TYPE, imod_fields
 from voxlake.functions.modes import Mode, data_bytes, mode_of
 from voxlake.session import ship
-from voxlake.sources.volume_file import MAX_DECOMPRESSED, TARGETS, Volume, convert_box, open_fs, open_volume
+from voxlake.sources.volume_file import MAX_DECOMPRESSED, TARGETS, Volume, convert_box, open_fs, open_volume, peek_volume
 
 #: Bytes of output in a block row, about, where no slab is asked for; and bytes that a task reads.
 ROW_BYTES = 8 << 20
 TASK_BYTES = 64 << 20
+#: Headers that planning reads at the same time.
+PLANNERS = 32
 
 VALUE_TYPES = {"float": T.FloatType(), "half": T.FloatType(), "short": T.ShortType(), "ushort": T.IntegerType(), "byte": T.ByteType()}
 HEADERS_SCHEMA = T.StructType(
@@ -48,6 +51,7 @@ HEADERS_SCHEMA = T.StructType(
         T.StructField("warnings", T.ArrayType(T.StringType())),
         T.StructField("ext_header", T.BinaryType()),
         T.StructField("header", HEADER_TYPE),
+        T.StructField("imod", IMOD_TYPE),
     ]
 )
 
@@ -104,7 +108,7 @@ class VolumeReader(DataSourceReader):
 
     def _open(self, path: str) -> Volume:
         o = self.o
-        return open_volume(path, o.get("mode", "STRICT").upper() == "PERMISSIVE", o.get("compression", "auto"), int(o.get("maxDecompressedBytes") or o.get("maxdecompressedbytes") or MAX_DECOMPRESSED))
+        return open_volume(path, self._permissive(), o.get("compression", "auto"), int(o.get("maxDecompressedBytes") or o.get("maxdecompressedbytes") or MAX_DECOMPRESSED))
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Bounds on whole numbers narrow the boxes that are read. All filters are also applied again by Spark, which keeps them exact."""
@@ -122,6 +126,22 @@ class VolumeReader(DataSourceReader):
             if top is not None:
                 self.high[a] = top if self.high[a] is None else min(self.high[a], top)
 
+    def _permissive(self) -> bool:
+        return self.o.get("mode", "STRICT").upper() == "PERMISSIVE"
+
+    def _peek(self, path: str) -> Volume | None:
+        """The header for planning; what permissive reading cannot use either is left out there, and an error here."""
+        try:
+            v = peek_volume(path, self.o.get("compression", "auto"))
+            mode_of(v.header.mode)
+            if min(v.shape) <= 0:
+                raise E.InvalidHeaderDetailed("InvalidDimensions", f"{v.shape}")
+        except E.VolumeError:
+            if self._permissive():
+                return None
+            raise
+        return v
+
     def _box(self, v: Volume) -> tuple[list[int], list[int]]:
         """Begin and end (x, y, z) of what is asked for."""
         begin, end = [0, 0, 0], list(v.shape)
@@ -141,8 +161,11 @@ class VolumeReader(DataSourceReader):
         if self.content == "headers":
             return [Sections(p, 0, 0) for p in files] or [Sections("", 0, 0)]
         out: list[InputPartition] = []
-        for p in files:
-            v = self._open(p)
+        with ThreadPoolExecutor(PLANNERS) as pool:
+            peeked = list(pool.map(self._peek, files))
+        for p, v in zip(files, peeked, strict=True):
+            if v is None:
+                continue
             begin, end = self._box(v)
             if any(b >= e for b, e in zip(begin, end, strict=True)):
                 continue
@@ -165,10 +188,10 @@ class VolumeReader(DataSourceReader):
     def read(self, partition: Sections) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        v = self._open(partition.path)
         if self.content == "headers":
-            yield self._header_row(v)
+            yield self._header_row(partition.path)
             return
+        v = self._open(partition.path)
         begin, end = self._box(v)
         target = self.o.get("valueType") or self.o.get("valuetype") or "native"
         m0 = self.o.get("m0", "auto")
@@ -203,10 +226,18 @@ class VolumeReader(DataSourceReader):
         head = [pa.array([path], pa.string()), *(pa.array([n], pa.int32()) for n in (*offset, *size))]
         return pa.RecordBatch.from_arrays([*head, data], names=[f.name for f in self.schema.fields])
 
-    def _header_row(self, v: Volume) -> pa.RecordBatch:
+    def _header_row(self, path: str) -> pa.RecordBatch:
+        """A file's row; permissive reading reports a file without a usable header by its path and the error alone."""
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        row = {"path": v.path, "compression": v.compression, "endian": v.header.endian, "standard_stamp": v.header.standard_stamp, "truncated": v.truncated, "m0_unsigned": v.header.mode == 0 and v.header.imod_unsigned(), "warnings": v.warnings, "ext_header": v.extended_header(), "header": v.header.row()}
+        row: dict = {f.name: None for f in self.schema.fields} | {"path": path}
+        try:
+            v = self._open(path)
+            row |= {"compression": v.compression, "endian": v.header.endian, "standard_stamp": v.header.standard_stamp, "truncated": v.truncated, "m0_unsigned": v.header.mode == 0 and v.header.imod_unsigned(), "warnings": v.warnings, "ext_header": v.extended_header(), "header": v.header.row(), "imod": imod_fields(v.header)}
+        except E.VolumeError as e:
+            if not self._permissive():
+                raise
+            row["warnings"] = [f"{e.code}: {e}"]
         return pa.RecordBatch.from_pylist([row], schema=to_arrow_schema(self.schema))
 
 
@@ -228,7 +259,7 @@ class VolumetricSource(DataSource):
             files = list_files(self.options["path"])
             if not files:
                 raise E.VolumeIOError("no files; name a valueType to read none")
-            probe = open_volume(files[0], True, self.options.get("compression", "auto"))
+            probe = peek_volume(files[0], self.options.get("compression", "auto"))
             m0 = self.options.get("m0", "auto")
             kind = value_type(probe.mode, "native", probe.header.imod_unsigned() if m0 == "auto" else m0 == "unsigned")
         else:
