@@ -82,9 +82,11 @@ def brute_components(fps):
     return label
 
 
-@pytest.mark.parametrize("large", [4096, 2])
-def test_components_equal_brute_force(spark, monkeypatch, large):
+@pytest.mark.parametrize(("large", "hot", "most"), [(4096, 1000, 500_000), (2, 1, 500_000), (4096, 1, 0)])
+def test_components_equal_brute_force(spark, monkeypatch, large, hot, most):
     monkeypatch.setattr(simhash, "LARGE_GROUP", large)
+    monkeypatch.setattr(simhash, "HOT_COPIES", hot)
+    monkeypatch.setattr(simhash, "BROADCAST_GROUPS", most)
     monkeypatch.setattr(simhash, "STEP_PAIRS", 500)
     rows = sorted(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect())
     fps = [brute_fingerprint(t, 3) for _, t in rows]
@@ -105,6 +107,27 @@ def test_index_on_random_and_dense_groups():
     assert label.tolist() == brute_components([int(x) for x in fps])
 
 
+def test_wide_components_link_similar_texts(spark):
+    r = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    rows, groups = [], {}
+    for g in range(40):
+        base = [r.choice(vocabulary) for _ in range(200)]
+        for k in range(4):
+            words = list(base)
+            for _ in range(k):
+                words[r.randrange(200)] = r.choice(vocabulary)
+            groups[len(rows)] = g
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(196)} for i, t in rows}
+    fps = simhash.with_wide_fingerprint(df, F.col("text"), F.col("doc_id"), 5).select(F.col("row").alias("id"), "fp")
+    found = {x.id: x.component for x in simhash.components(fps, simhash.edges_by_samples).collect()}
+    pairs = [(i, j) for i in sets for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(pairs) > 100 and sum(found[i] == found[j] for i, j in pairs) >= 0.98 * len(pairs)
+    assert all(groups[i] == groups[c] for i, c in found.items())
+
+
 def test_gray_rank():
     x = np.arange(256, dtype=np.uint64)
     assert np.array_equal(simhash.gray_rank(x ^ (x >> np.uint64(1))), x)

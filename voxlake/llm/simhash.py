@@ -38,6 +38,8 @@ LARGE_GROUP = 4096
 #: Large groups' keys are broadcast up to this number (16 MB), else joined by shuffle.
 BROADCAST_GROUPS = 500_000
 FAN = 8
+#: Fingerprints of more rows are joined apart: by broadcast below BROADCAST_GROUPS of them, else by salt.
+HOT_COPIES, SALTS = 1000, 64
 #: Comparisons of queries with leaves that a step of the search may have to hold.
 STEP_PAIRS = 1 << 21
 SHINGLE_RUN = 1 << 15
@@ -355,14 +357,28 @@ def star_components(edges: DataFrame) -> DataFrame:
 
 def components(rows: DataFrame, edges: Callable[[DataFrame], DataFrame] = edges_within) -> DataFrame:
     """Add ``component`` to rows of (id, fp): the least id reachable by links, its own included; null ids are no candidates."""
-    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")))
     roots = star_components(edges(nodes))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     firsts = members.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "first")
     least = firsts.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "of_root")
     linked = firsts.join(least, F.col("root") == F.col("of_root")).select("node", "component")
-    named = nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component"))
-    return rows.join(named, F.col("fp") == F.col("of_fp")).drop("of_fp")
+    named = cut(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component"), "copies"))
+    # a fingerprint that many rows share must not bring them together in one task
+    hot = named.where(F.col("copies") > HOT_COPIES).select(F.col("of_fp").alias("hot_fp"), F.col("component").alias("hot_component"))
+    cold = named.where(F.col("copies") <= HOT_COPIES).drop("copies")
+    n_hot = hot.limit(BROADCAST_GROUPS + 1).count()
+    if not n_hot:
+        return rows.join(cold, F.col("fp") == F.col("of_fp")).drop("of_fp")
+    if n_hot <= BROADCAST_GROUPS:
+        marked = rows.join(F.broadcast(hot), F.col("fp") == F.col("hot_fp"), "left")
+    else:
+        salted = hot.withColumn("of_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+        marked = rows.withColumn("salt", salt).join(salted, (F.col("fp") == F.col("hot_fp")) & (F.col("salt") == F.col("of_salt")), "left")
+    done = marked.where(F.col("hot_fp").isNotNull()).select("id", "fp", F.col("hot_component").alias("component"))
+    rest = marked.where(F.col("hot_fp").isNull()).select("id", "fp").join(cold, F.col("fp") == F.col("of_fp"))
+    return rest.select("id", "fp", "component").unionByName(done)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
