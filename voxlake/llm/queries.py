@@ -79,6 +79,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from voxlake.llm import line_dedup
+    from voxlake.llm import line_dedup, warc
 
-    return {"op6_line_dedup": line_dedup.ORACLE}
+    return {"op5_warc_bundles": warc.ORACLE, "op6_line_dedup": line_dedup.ORACLE}

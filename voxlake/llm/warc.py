@@ -280,3 +280,16 @@ def archive_round_trip(pages: DataFrame, id_column: str = "page_id", payload_col
         return F.nullif(F.regexp_extract(c, "^<urn:page:(.*)>$", 1), F.lit("None")).cast(kind)
 
     return records.select(page("record_id").alias(id_column), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), "url")
+
+
+#: What op5 must give; base32 is spelled from each five hexadecimal digits of the digest.
+ORACLE = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         (((('0x' || substr(x, 5 * (i // 4)::INT + 1, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM d
+"""
