@@ -26,6 +26,11 @@ def _flat(spark: SparkSession, path: str, permissive: bool) -> DataFrame:
     return h.select("path", "endian", "standard_stamp", "warnings", "header.*").withColumn("labels", label)
 
 
+def _values(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """(path, value) of all voxels: arrays cross from Python, and are exploded inside the JVM."""
+    return read_blocks(spark, path, **options).select("path", F.explode("data").alias("value"))
+
+
 def validate(spark: SparkSession, path: str, permissive: bool = True, complex_files: bool = False) -> DataFrame:
     """Issues (path, severity, category, message) of all files: headers, then statistics and values.
 
@@ -34,19 +39,19 @@ def validate(spark: SparkSession, path: str, permissive: bool = True, complex_fi
     mode = "PERMISSIVE" if permissive else "STRICT"
     volumes = _flat(spark, path, permissive)
     if complex_files:
-        v = read_voxels(spark, path, mode=mode).select("path", F.col("value.re").cast("float").alias("re"), F.col("value.im").cast("float").alias("im"))
+        v = _values(spark, path, mode=mode).select("path", F.col("value.re").cast("float").alias("re"), F.col("value.im").cast("float").alias("im"))
     else:
-        v = read_voxels(spark, path, mode=mode, valueType="float").select("path", F.col("value").alias("re"), F.lit(None).cast("float").alias("im"))
+        v = _values(spark, path, mode=mode, valueType="float").select("path", F.col("value").alias("re"), F.lit(None).cast("float").alias("im"))
     return header_issues(volumes).unionByName(data_issues(volumes, v))
 
 
 def stats(spark: SparkSession, path: str) -> DataFrame:
     """Density statistics of real volumes, a row a file."""
-    return read_voxels(spark, path, valueType="float").groupBy("path").agg(*density_stats(F.col("value")))
+    return _values(spark, path, valueType="float").groupBy("path").agg(*density_stats(F.col("value")))
 
 
 def stats_complex(spark: SparkSession, path: str) -> DataFrame:
-    return read_voxels(spark, path).groupBy("path").agg(*complex_stats(F.col("value.re"), F.col("value.im")))
+    return _values(spark, path).groupBy("path").agg(*complex_stats(F.col("value.re"), F.col("value.im")))
 
 
 def one_slice(spark: SparkSession, path: str, z: int) -> DataFrame:
