@@ -125,8 +125,8 @@ def test_landing_stream(spark, tmp_path):
     from voxlake.streaming.landing import landing_blocks, run_available, section_means
 
     (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "a.mrc").write_bytes(volume(2, 2, 2, 2, [1.0] * 4 + [3.0] * 4))
+    (tmp_path / "in" / "a.vol").write_bytes(volume(2, 2, 2, 2, [1.0] * 4 + [3.0] * 4))
     run_available(section_means(landing_blocks(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
-    (tmp_path / "in" / "b.mrc").write_bytes(volume(2, 2, 1, 2, [7.0] * 4))
+    (tmp_path / "in" / "b.vol").write_bytes(volume(2, 2, 1, 2, [7.0] * 4))
     run_available(section_means(landing_blocks(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "cp"))
     assert sorted(r["mean"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1.0, 3.0, 7.0]

@@ -55,7 +55,7 @@ def test_range_filter_reaches_the_scan(spark, tmp_path):
     from voxlake.sources.volumetric import VolumeReader, VolumetricSource
     from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, LessThan
 
-    p = tmp_path / "v.mrc"
+    p = tmp_path / "v.vol"
     p.write_bytes(volume(4, 4, 8, 2, [float(i) for i in range(128)]))
     source = VolumetricSource({"path": str(p), "content": "voxels"})
     reader = VolumeReader(source.schema(), {"path": str(p), "content": "voxels"})

@@ -36,7 +36,7 @@ def test_round_trip_and_statistics(spark, tmp_path, compression):
 def test_float_blocks_are_converted(spark, tmp_path, mode, values):
     a = np.array(values, np.float32).reshape(1, 2, 2)
     write_volume(planes(spark, a), str(tmp_path), VolumeBuilder((2, 2, 1), mode))
-    got = read_array(str(tmp_path / "v.mrc")).ravel().tolist()
+    got = read_array(str(tmp_path / "v.vol")).ravel().tolist()
     want = {0: [-128, -5, 5, 127], 1: [-32768, -1, 1, 32767], 6: [0, 1, 65535, 65535], 12: np.array(values, np.float16).astype(float).tolist()}[mode]
     assert got == want
 
@@ -44,13 +44,13 @@ def test_float_blocks_are_converted(spark, tmp_path, mode, values):
 def test_packed_odd_rows_partial_blocks_and_errors(spark, tmp_path):
     a = (np.arange(30) % 16).reshape(2, 3, 5)
     write_volume(planes(spark, a, "int"), str(tmp_path / "p"), VolumeBuilder((5, 3, 2), 101))
-    p = str(tmp_path / "p" / "v.mrc")
+    p = str(tmp_path / "p" / "v.vol")
     assert np.array_equal(read_array(p), a) and len(open(p, "rb").read()) == 1024 + 3 * 6 == expected_bytes(VolumeBuilder((5, 3, 2), 101))
     with pytest.raises(Exception, match="packed voxels"):
         write_volume(planes(spark, a + 1, "int"), str(tmp_path / "q"), VolumeBuilder((5, 3, 2), 101))
     rows = spark.createDataFrame([("v", 1, 1, 0, 2, 1, 2, [1.0, 2.0, 3.0, 4.0])], "path string, ox int, oy int, oz int, sx int, sy int, sz int, data array<float>")
     write_volume(rows, str(tmp_path / "r"), VolumeBuilder((4, 3, 3)))
-    got = read_array(str(tmp_path / "r" / "v.mrc"))
+    got = read_array(str(tmp_path / "r" / "v.vol"))
     assert got.sum() == 10 and got[1, 1].tolist() == [0, 3, 4, 0]
     with pytest.raises(Exception, match="not inside"):
         write_volume(rows, str(tmp_path / "s"), VolumeBuilder((2, 3, 3)))
@@ -64,7 +64,7 @@ def test_complex_and_stack(spark, tmp_path):
     rows = [("c", 0, 0, z, 2, 1, 1, [(float(z), 1.0), (2.0, -1.0)]) for z in range(4)]
     df = spark.createDataFrame(rows, "path string, ox int, oy int, oz int, sx int, sy int, sz int, data array<struct<re:float,im:float>>")
     write_volume(df, str(tmp_path), VolumeBuilder((2, 1, 4), 4).volume_stack(2))
-    p = str(tmp_path / "c.mrc")
+    p = str(tmp_path / "c.vol")
     h = open_volume(p).header
     assert (h.dmin, h.dmax, h.dmean) == (0, -1, -2) and h.rms > 0 and h.ispg == 401
     assert read_blocks(spark, p, stack="true").count() == 2
@@ -77,15 +77,15 @@ def test_several_files_in_memory_and_tools(spark, tmp_path):
     a = np.arange(24, dtype=np.float32).reshape(3, 2, 4)
     both = planes(spark, a, name="a").unionByName(planes(spark, a * 2, name="b"))
     write_volume(both, str(tmp_path / "in"), VolumeBuilder((4, 2, 3)), mode="overwrite")
-    assert {x.name for x in (tmp_path / "in").iterdir()} == {"a.mrc", "b.mrc"}
+    assert {x.name for x in (tmp_path / "in").iterdir()} == {"a.vol", "b.vol"}
     content = {r.path: bytes(r.content) for r in encode_volumes(both, VolumeBuilder((4, 2, 3))).collect()}
-    assert content["a"] == (tmp_path / "in" / "a.mrc").read_bytes()
+    assert content["a"] == (tmp_path / "in" / "a.vol").read_bytes()
     assert np.array_equal(open_volume("b", content=gzip.compress(content["b"])).raw_box((0, 0, 0), (4, 2, 3)), a * 2)
-    p = str(tmp_path / "in" / "a.mrc")
+    p = str(tmp_path / "in" / "a.vol")
     tools.crop(spark, p, (1, 0, 1), (2, 2, 2), str(tmp_path / "crop"))
-    assert np.array_equal(read_array(str(tmp_path / "crop" / "a.mrc")), a[1:3, 0:2, 1:3])
+    assert np.array_equal(read_array(str(tmp_path / "crop" / "a.vol")), a[1:3, 0:2, 1:3])
     tools.unstack(spark, p, str(tmp_path / "un"), 4, 2)
-    assert np.array_equal(read_array(str(tmp_path / "un" / "a-2.mrc"))[0], a[2])
+    assert np.array_equal(read_array(str(tmp_path / "un" / "a-2.vol"))[0], a[2])
     assert tools.stats(spark, p).collect()[0].dmax == 23
     assert tools.rescale_down(spark, p, 2).count() == 4
     assert tools.info(spark, p).collect()[0].kind == "volume"
@@ -95,9 +95,9 @@ def test_several_files_in_memory_and_tools(spark, tmp_path):
 def test_statistics_mismatch_and_nonfinite_are_reported(spark, tmp_path):
     from tests.volumes import volume
 
-    (tmp_path / "m.mrc").write_bytes(volume(2, 2, 1, 2, [1.0, 2.0, float("nan"), float("inf")], dmin=5.0, dmax=9.0, dmean=6.0))
+    (tmp_path / "m.vol").write_bytes(volume(2, 2, 1, 2, [1.0, 2.0, float("nan"), float("inf")], dmin=5.0, dmax=9.0, dmean=6.0))
     got = {(r.severity, r.category) for r in tools.validate(spark, str(tmp_path)).collect()}
     assert ("Error", "Statistics") in got and ("Warning", "Data integrity") in got
-    (tmp_path / "m.mrc").write_bytes(volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], map=b"XYZ_"))
+    (tmp_path / "m.vol").write_bytes(volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], map=b"XYZ_"))
     rows = tools.validate(spark, str(tmp_path)).collect()
     assert any(r.severity == "Error" and r.category == "Header" for r in rows) and any(r.category == "Open" for r in rows)

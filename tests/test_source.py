@@ -30,7 +30,7 @@ def put(tmp_path, name, raw):
 @pytest.mark.parametrize("order", ["<", ">"])
 @pytest.mark.parametrize("mode", list(VALUES))
 def test_every_mode_and_order(tmp_path, mode, order):
-    p = put(tmp_path, "v.mrc", volume(4, 4, 2, mode, VALUES[mode], order))
+    p = put(tmp_path, "v.vol", volume(4, 4, 2, mode, VALUES[mode], order))
     v = open_volume(p)
     assert v.header.endian == ("little" if order == "<" else "big") and not v.truncated
     box = v.raw_box((0, 0, 0), (4, 4, 2))
@@ -53,7 +53,7 @@ def test_compressed(spark, tmp_path, pack):
 
 
 def test_blocks_region_and_pushdown(spark, tmp_path):
-    p = put(tmp_path, "v.mrc", volume(10, 10, 10, 1, list(range(1000))))
+    p = put(tmp_path, "v.vol", volume(10, 10, 10, 1, list(range(1000))))
     want = np.arange(1000).reshape(10, 10, 10)
     rows = read_blocks(spark, p, region="2,3,4,5,4,3").collect()
     assert len(rows) == 3 and all((r.ox, r.oy, r.sx, r.sy, r.sz) == (2, 3, 5, 4, 1) for r in rows)
@@ -68,23 +68,23 @@ def test_blocks_region_and_pushdown(spark, tmp_path):
 
 
 def test_value_types(spark, tmp_path):
-    p = put(tmp_path, "c.mrc", volume(2, 1, 1, 4, [(3.0, 4.0), (0.0, -2.0)]))
+    p = put(tmp_path, "c.vol", volume(2, 1, 1, 4, [(3.0, 4.0), (0.0, -2.0)]))
     for strategy, want in (("real", [3.0, 0.0]), ("imaginary", [4.0, -2.0]), ("magnitude", [5.0, 2.0])):
         assert [r.value for r in read_voxels(spark, p, valueType="float", complexStrategy=strategy).orderBy("x").collect()] == want
-    f = put(tmp_path, "f.mrc", volume(6, 1, 1, 2, [1.7, -1.7, 2.5, float("nan"), float("inf"), -1e9]))
+    f = put(tmp_path, "f.vol", volume(6, 1, 1, 2, [1.7, -1.7, 2.5, float("nan"), float("inf"), -1e9]))
     assert [r.value for r in read_voxels(spark, f, valueType="short").orderBy("x").collect()] == [1, -1, 2, 0, 32767, -32768]
     assert [r.value for r in read_voxels(spark, f, valueType="short", rounding="half_even").orderBy("x").collect()] == [2, -2, 2, 0, 32767, -32768]
-    u = put(tmp_path, "u.mrc", volume(5, 1, 1, 0, [-1, 0, 1, -128, 127]))
+    u = put(tmp_path, "u.vol", volume(5, 1, 1, 0, [-1, 0, 1, -128, 127]))
     assert [r.value for r in read_voxels(spark, u, m0="unsigned").orderBy("x").collect()] == [255, 0, 1, 128, 127]
     assert [r.value for r in read_voxels(spark, u, m0="unsigned", valueType="byte").orderBy("x").collect()] == [127, 0, 1, 127, 127]
     imod = bytes(56) + b"IMOD" + b"\0"
-    s = put(tmp_path, "s.mrc", volume(2, 1, 1, 0, [-1, 5], extra=imod))
+    s = put(tmp_path, "s.vol", volume(2, 1, 1, 0, [-1, 5], extra=imod))
     assert [r.value for r in read_voxels(spark, s, valueType="float").orderBy("x").collect()] == [255.0, 5.0]
     assert read_array(s, "float").tolist() == [[[255.0, 5.0]]]
 
 
 def test_wrong_stamp_is_decoded_in_the_order_of_the_mode(tmp_path):
-    p = put(tmp_path, "w.mrc", volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], ">", stamp=b"\x44\x44\0\0"))
+    p = put(tmp_path, "w.vol", volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], ">", stamp=b"\x44\x44\0\0"))
     v = open_volume(p)
     assert v.header.endian == "big" and v.warnings and v.raw_box((0, 0, 0), (2, 2, 1)).ravel().tolist() == [1, 2, 3, 4]
     assert v.header.nversion == 20141
@@ -100,14 +100,14 @@ def test_strict_and_permissive(spark, tmp_path):
     assert not open_volume("x", True, content=good + bytes(16)).truncated
     assert any("MAP" in w for w in open_volume("x", True, content=cases["map"][0]).warnings)
     assert open_volume("x", True, content=volume(4, 4, 1, 2, [0.0] * 16, nsymbt=-4, map=bytes(4))).warnings
-    p = put(tmp_path, "t.mrc", good[:1124])
+    p = put(tmp_path, "t.vol", good[:1124])
     row = read_headers(spark, p, mode="PERMISSIVE").collect()[0]
     assert row.truncated and row.header.nx == 8 and row.compression == "plain"
 
 
 def test_many_files_and_binary_column(spark, tmp_path):
     for k in range(3):
-        put(tmp_path, f"{k}.mrc", volume(2, 2, 2, 1, [k] * 8))
+        put(tmp_path, f"{k}.vol", volume(2, 2, 2, 1, [k] * 8))
     assert read_voxels(spark, str(tmp_path)).groupBy("path").count().count() == 3
     rows = decode_binary(spark.read.format("binaryFile").load(str(tmp_path))).collect()
     assert len(rows) == 6 and all(len(r.data) == 4 for r in rows)
@@ -117,13 +117,13 @@ def test_permissive_reports_unusable_files(spark, tmp_path):
     from voxlake.operators import tools
     from voxlake.operators.validate import roll_up
 
-    put(tmp_path, "bad.mrc", bytes(1024))
-    put(tmp_path, "worse.mrc", b"abc")
-    put(tmp_path, "good.mrc", volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], dmin=1.0, dmax=4.0, dmean=2.5, rms=1.118))
+    put(tmp_path, "bad.vol", bytes(1024))
+    put(tmp_path, "worse.vol", b"abc")
+    put(tmp_path, "good.vol", volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], dmin=1.0, dmax=4.0, dmean=2.5, rms=1.118))
     rows = {r.path.rsplit("/")[-1]: r for r in read_headers(spark, str(tmp_path), mode="PERMISSIVE").collect()}
-    assert rows["bad.mrc"].header is None and "InvalidDimensions" in rows["bad.mrc"].warnings[0] and rows["good.mrc"].header.nx == 2
+    assert rows["bad.vol"].header is None and "InvalidDimensions" in rows["bad.vol"].warnings[0] and rows["good.vol"].header.nx == 2
     got = {r.path.rsplit("/")[-1]: r.is_valid for r in roll_up(tools.validate(spark, str(tmp_path))).collect()}
-    assert got == {"bad.mrc": False, "worse.mrc": False, "good.mrc": True}
+    assert got == {"bad.vol": False, "worse.vol": False, "good.vol": True}
     with pytest.raises(Exception, match="InvalidDimensions|header"):
         read_headers(spark, str(tmp_path)).collect()
 
@@ -134,7 +134,7 @@ def test_header_columns(spark, tmp_path):
     from voxlake.functions import header as H
 
     imod = bytes(56) + b"IMOD" + bytes(4) + b"\1\0"
-    p = put(tmp_path, "v.mrc", volume(3, 2, 1, 0, [1, 2, 3, 4, 5, 6], extra=imod))
+    p = put(tmp_path, "v.vol", volume(3, 2, 1, 0, [1, 2, 3, 4, 5, 6], extra=imod))
     h = read_headers(spark, p)
     row = h.select(H.header_tuples(F.col("header")).alias("t"), F.from_json(H.header_json(F.col("header")), H.HEADER_TYPE).alias("j"), "header", "imod", "m0_unsigned").first()
     assert row.t.sampling == [3, 2, 1] and row.j == row.header and row.imod.type == "Tilt" and row.m0_unsigned

@@ -227,7 +227,7 @@ class VolumeWriter(DataSourceArrowWriter):
                     packed.close()
             volume.close()
             stem = os.path.basename(name.rstrip("/")).split(".")[0] or "volume"
-            out.append((temporary, f"{folder}/{stem}.mrc" + {"gzip": ".gz", "bzip2": ".bz2"}.get(kind, "")))
+            out.append((temporary, f"{folder}/{stem}.vol" + {"gzip": ".gz", "bzip2": ".bz2"}.get(kind, "")))
         return Written(out)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
