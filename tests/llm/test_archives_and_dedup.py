@@ -265,3 +265,30 @@ def test_pipeline(spark):
     pieces = P.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == kept
     assert sorted(map(tuple, P.run(spark, SF).drop("sequence_id", "offset").collect())) == sorted(map(tuple, pieces.drop("sequence_id", "offset").collect()))
+
+
+
+@pytest.mark.parametrize("large", [4096, 3])
+def test_near_duplicates_at_the_edge_of_the_contract(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE_GROUP", large)
+    r = random.Random(11)
+    pool = [f"w{i}" for i in range(50_000)]
+    rows, edge, below = [], 400, 200
+    # 76 of 95 distinct shingles are shared: exactly 0.8; 75 of 99: 0.76
+    for k in range(edge + below):
+        a = [r.choice(pool) for _ in range(89)]
+        common, more = (76, (9, 10)) if k < edge else (75, (12, 12))
+        for m in more:
+            rows.append((len(rows), " ".join(a[: common + 4] + [r.choice(pool) for _ in range(m)])))
+    # a chain: each is near the next only, and repeats do not count
+    a = [r.choice(pool) for _ in range(200)]
+    rows += [(5000 + k, " ".join(a[15 * k : 15 * k + 140])) for k in range(5)]
+    rows += [(6000, "on and on we go " * 30), (6001, "on and on we go " * 3)]
+    kept = {x.doc_id for x in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [k for k in range(edge) if 2 * k + 1 not in kept]
+    assert len(linked) >= 0.98 * edge and all(2 * k in kept for k in range(edge))
+    assert all(2 * k in kept and 2 * k + 1 in kept for k in range(edge, edge + below))
+    assert {i for i in kept if i >= 5000} == {5000, 6000}
+    n = 2**18
+    bits, tables = simhash.sample_plan(n)
+    assert bits == 13 and tables < 80

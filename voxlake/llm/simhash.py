@@ -9,8 +9,9 @@ search adds up the differences from the root down, over the bits that each node
 leaves a whole run once there are too many. Runs that are already in the query's component
 are left as well: a dense group costs few comparisons.
 
-Near duplicates of lower similarity are found in the same index over wider fingerprints, dealt by
-samples of their bits: a pair meets in one of many tables with a stated probability.
+Candidates of lower similarity are found in the same index over wider fingerprints, dealt by
+samples of their bits: a pair meets in one of many tables with a stated probability. Their texts
+are then brought together by component of candidates, and a link is one whose shingles were compared.
 
 Each task returns, for each fingerprint, one edge to its component's first one (no pairs).
 Components of these edges come from alternating large- and small-star steps.
@@ -43,12 +44,15 @@ HOT_COPIES, SALTS = 1000, 64
 #: Comparisons of queries with leaves that a step of the search may have to hold.
 STEP_PAIRS = 1 << 21
 SHINGLE_RUN = 1 << 15
-#: For near duplicates of at least this similarity (Jaccard, of shingles): wide fingerprints, and the bits that they may
-#: differ in. At 0.8, 39 of 256 bits are expected to differ (deviation 6), at 0.7 49 (6), without common shingles 128 (8).
+#: For near duplicates of at least this similarity (Jaccard, of distinct shingles): wide fingerprints, and the bits that those
+#: of candidates may differ in. At 0.8, 39 of 256 bits are expected to differ (deviation 6), at 0.7 49 (6), without common shingles 128 (8).
 MIN_SIMILARITY = 0.8
 WIDE_BITS = 256
-WIDE_RADIUS = 44
-RECALL = 0.99
+WIDE_RADIUS = 60
+#: Least share of the pairs of exactly that similarity that become candidates, over all distances that they may have.
+RECALL = 0.995
+#: Shingle sets that one text is compared with at once; texts of candidates in a task.
+COMPARED, TASK_TEXTS = 256, 20_000
 FINER_BITS, FINER_TABLES = 6, 12
 
 
@@ -70,24 +74,35 @@ def fingerprint(text: str | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def _shingles(text: str | None, shingle: int) -> Iterator[list[bytes]]:
+    """The shingles of a text, in runs."""
+    words = (text or "").encode().lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    for lo in range(0, n, SHINGLE_RUN):
+        columns = [words[lo + k : min(n, lo + SHINGLE_RUN) + k] for k in range(min(shingle, len(words)))]
+        yield [b" ".join(s) for s in zip(*columns, strict=True)]
+
+
 def wide_fingerprint(text: str | None, shingle: int) -> bytes:
-    """WIDE_BITS bits, by XXH3 with several seeds; zeros without words."""
+    """WIDE_BITS bits of the distinct shingles, by XXH3 with several seeds; zeros without words."""
     import xxhash
 
-    words = (text or "").encode().lower().split()
-    if not words:
-        return bytes(WIDE_BITS // 8)
-    n = max(1, len(words) - shingle + 1)
-    ones = np.zeros(WIDE_BITS, dtype=np.int64)
     h = xxhash.xxh3_128_digest
-    for lo in range(0, n, SHINGLE_RUN):
-        hi = min(n, lo + SHINGLE_RUN)
-        columns = [words[lo + k : hi + k] for k in range(min(shingle, len(words)))]
-        joined = [b" ".join(s) for s in zip(*columns, strict=True)]
-        raw = [h(s, seed) for s in joined for seed in range(WIDE_BITS // 128)]
-        bits = np.unpackbits(np.frombuffer(b"".join(raw), np.uint8).reshape(len(joined), -1), axis=1)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n).tobytes()
+    raw = [h(s, seed) for part in _shingles(text, shingle) for s in part for seed in range(WIDE_BITS // 128)]
+    if not raw:
+        return bytes(WIDE_BITS // 8)
+    digests = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, WIDE_BITS // 8)
+    digests = digests[np.unique(digests[:, :8].copy().view(np.uint64).ravel(), return_index=True)[1]]
+    ones = sum(np.unpackbits(digests[lo : lo + SHINGLE_RUN], axis=1).sum(axis=0, dtype=np.int64) for lo in range(0, len(digests), SHINGLE_RUN))
+    return np.packbits(2 * ones > len(digests)).tobytes()
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """XXH3 of the distinct shingles, sorted; a single zero without words."""
+    import xxhash
+
+    h = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([h(s) for part in _shingles(text, shingle) for s in part] or [0], dtype=np.uint64))
 
 
 def with_wide_fingerprint(docs: DataFrame, text: Column, carry: Column, shingle: int) -> DataFrame:
@@ -258,11 +273,16 @@ def edges_within(nodes: DataFrame) -> DataFrame:
 
 
 def sample_plan(n: int) -> tuple[int, int]:
-    """(bits, tables) for n fingerprints: keys long enough that a group stays small, and tables enough that a pair
-    with the distance that is expected at the least similarity meets in one with a probability of RECALL."""
+    """(bits, tables) for n fingerprints: keys long enough that a group stays small, and tables enough that a pair of the least
+    similarity differs in at most WIDE_RADIUS bits and meets in a table with a probability of RECALL, over all distances."""
     bits = max(12, n.bit_length() - 6)
-    agree = 1 - math.acos(2 * MIN_SIMILARITY / (1 + MIN_SIMILARITY)) / math.pi
-    return bits, math.ceil(math.log(1 - RECALL) / math.log(1 - agree**bits))
+    apart = math.acos(2 * MIN_SIMILARITY / (1 + MIN_SIMILARITY)) / math.pi
+    share = [math.comb(WIDE_BITS, d) * apart**d * (1 - apart) ** (WIDE_BITS - d) for d in range(WIDE_RADIUS + 1)]
+    agree = [math.comb(WIDE_BITS - d, bits) / math.comb(WIDE_BITS, bits) for d in range(WIDE_RADIUS + 1)]
+    tables = 1
+    while sum(s * (1 - (1 - a) ** tables) for s, a in zip(share, agree, strict=True)) < RECALL:
+        tables += 1
+    return bits, tables
 
 
 def _sampled(raw: np.ndarray, picks: np.ndarray) -> np.ndarray:
@@ -272,14 +292,11 @@ def _sampled(raw: np.ndarray, picks: np.ndarray) -> np.ndarray:
     return np.stack([bits[:, p].astype(np.int64) @ weights for p in picks], axis=1)
 
 
-def edges_by_samples(nodes: DataFrame) -> DataFrame:
-    """(u, v): edges that connect wide fingerprints ``fp`` that differ in at most WIDE_RADIUS bits and agree in the bits of a table.
+def dealt_by_samples(nodes: DataFrame, n: int) -> DataFrame:
+    """(fp, k0, k1): a row for each wide fingerprint ``fp`` and each group that it is in, by the plan for n fingerprints.
 
     Groups of more than LARGE_GROUP are dealt again by further bits, in tables of their own.
     """
-    spark = nodes.sparkSession
-    ship(spark)
-    n = nodes.count()
     bits, tables = sample_plan(n)
     r = np.random.default_rng(20_241)
     picks = np.stack([r.permutation(WIDE_BITS)[:bits] for _ in range(tables)])
@@ -313,7 +330,16 @@ def edges_by_samples(nodes: DataFrame) -> DataFrame:
         marked = rows.join(right, F.col("k0") == F.col("large_key"), "left")
         again = map_arrow(marked.where(F.col("large_key").isNotNull()).select("fp", "k0", "k1"), deal_again, schema)
         rows = marked.where(F.col("large_key").isNull()).select("fp", "k0", "k1").unionByName(again)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * tables // 250_000)
+    return rows
+
+
+def edges_by_samples(nodes: DataFrame) -> DataFrame:
+    """(u, v): edges that connect wide fingerprints ``fp`` that differ in at most WIDE_RADIUS bits and agree in the bits of a table."""
+    spark = nodes.sparkSession
+    ship(spark)
+    n = nodes.count()
+    rows = dealt_by_samples(nodes, n)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * sample_plan(n)[1] // 250_000)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b"".join(b.column(0).to_pylist()), np.asarray(b.column(1)), np.asarray(b.column(2))) for b in batches if b.num_rows]
@@ -331,6 +357,76 @@ def edges_by_samples(nodes: DataFrame) -> DataFrame:
     return rows.repartition(parts, "k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
 
 
+def similar_links(sets: list[np.ndarray], fps: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all sets whose fingerprints (rows of bytes) differ in at most WIDE_RADIUS bits and whose Jaccard similarity is MIN_SIMILARITY at least.
+
+    Each set is compared with those that no component has yet: where all are alike, that is once.
+    """
+    words = fps.view(np.uint64)
+    sizes = np.array([len(s) for s in sets])
+    rest = np.arange(len(sets))
+    links = []
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            near = rest[_bits(words[rest] ^ words[x]) <= WIDE_RADIUS]
+            found = []
+            for lo in range(0, len(near), COMPARED):
+                part = near[lo : lo + COMPARED]
+                flat = np.concatenate([sets[i] for i in part])
+                at = np.minimum(np.searchsorted(sets[x], flat), sizes[x] - 1)
+                common = np.add.reduceat((sets[x][at] == flat).astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+                found += part[common >= MIN_SIMILARITY * (sizes[part] + sizes[x] - common) - 1e-9].tolist()
+            links += [(x, i) for i in found]
+            todo += found
+            rest = rest[~np.isin(rest, found)]
+    return links
+
+
+def similar_edges(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """(u, v): edges between fingerprints whose texts share MIN_SIMILARITY of their distinct shingles.
+
+    ``nodes`` has (fp, first.n) and ``texts`` (n, fp, text). Texts meet by component of candidates;
+    those of a component of more than LARGE_GROUP meet in the groups that the candidates met in.
+    """
+    spark = nodes.sparkSession
+    roots = star_components(edges_by_samples(nodes))
+    members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    keyed = cut(members.join(nodes, F.col("node") == F.col("fp")).select("node", F.col("first.n").alias("of_n"), F.xxhash64("root").alias("k0")))
+    large = cut(keyed.groupBy("k0").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") > LARGE_GROUP).select(F.col("k0").alias("large_key")))
+    n_large, n_members = large.limit(BROADCAST_GROUPS + 1).count(), keyed.count()
+    marked = keyed.join(F.broadcast(large) if n_large <= BROADCAST_GROUPS else large, F.col("k0") == F.col("large_key"), "left")
+    marked = marked.select("node", "of_n", "k0", F.col("large_key").isNotNull().alias("again"))
+    right = marked.select("of_n", "k0", "again")
+    held = texts.join(F.broadcast(right) if n_members <= BROADCAST_GROUPS else right, F.col("n") == F.col("of_n"))
+    rows = held.where(~F.col("again")).select("fp", "text", "k0", F.lit(-1).cast("long").alias("k1"))
+    if n_large:
+        dealt = dealt_by_samples(marked.where("again").select(F.col("node").alias("fp")), nodes.count()).withColumnRenamed("fp", "node")
+        rows = rows.unionByName(held.where("again").select("fp", "text").join(dealt, F.col("fp") == F.col("node")).select("fp", "text", "k0", "k1"))
+
+    def links(fps: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
+        found = similar_links(sets, np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1))
+        return table({"u": ([fps[i] for i, _ in found], pa.binary()), "v": ([fps[j] for _, j in found], pa.binary())})
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fps, sets = None, [], []
+        for batch in batches:
+            for part in runs(batch, 1) if batch.num_rows else ():
+                for fp, text, *k in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if k != key:
+                        if len(fps) > 1:
+                            yield links(fps, sets)
+                        key, fps, sets = k, [], []
+                    fps.append(fp)
+                    sets.append(shingle_set(text, shingle))
+        if len(fps) > 1:
+            yield links(fps, sets)
+
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_members // TASK_TEXTS)
+    return rows.repartition(parts, "k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that is not its component's least node, by alternating star steps."""
 
@@ -397,13 +493,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id"
 def keep_one(docs: DataFrame, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the least id (nulls last).
 
-    Near duplicates share 0.8 or more of their shingles. At that similarity 64-bit fingerprints
-    differ in ten bits, not three, so wide ones are compared, within WIDE_RADIUS bits.
+    Near duplicates share 0.8 or more of their distinct shingles. At that similarity 64-bit fingerprints
+    differ in ten bits, not three, so wide ones give candidates, within WIDE_RADIUS bits, and the texts decide.
+    Texts of equal wide fingerprints count as alike: below that similarity, that has a chance under 1e-16.
     """
     numbered = docs.select(packed(docs.columns).alias("row"), F.monotonically_increasing_id().alias("n"))
     carried = F.struct("row", "n")
     staged = stage(with_wide_fingerprint(numbered, F.col("row").getField(text_column), carried, shingle), "fingerprints")
     order = F.struct(F.col("row.row").getField(id_column).isNull().alias("none"), F.col("row.row").getField(id_column).alias("key"), F.col("row.n").alias("n"))
-    found = components(cut(staged.select(order.alias("id"), "fp")), edges_by_samples)
+    texts = staged.select(F.col("row.n").alias("n"), "fp", F.col("row.row").getField(text_column).alias("text"))
+    found = components(cut(staged.select(order.alias("id"), "fp")), lambda nodes: similar_edges(nodes, texts, shingle))
     kept = found.where(F.col("id.n") == F.col("component.n")).select(F.col("id.n").alias("kept_n"))
     return staged.join(kept, F.col("row.n") == F.col("kept_n"), "left_semi").select("row.row.*")
