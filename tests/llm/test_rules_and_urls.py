@@ -118,3 +118,11 @@ def test_pages_verdicts_follow_the_rules(spark):
             assert (r.rule, r.verdict) == max(fits)[1:]
         else:
             assert r.rule is None and (r.verdict == "block") == any(x in r.host for x in ("cheap-pills", "spam-farm", "casino-win", "free-bets", "ads-track", "adult-x"))
+
+
+def test_outliers_of_a_group_of_which_two_fifths_are_junk(spark):
+    r = np.random.default_rng(3)
+    texts = [" ".join("".join(r.choice(list("abcdefg"), r.integers(2, 9))) for _ in range(int(r.integers(30, 200)))) for _ in range(1000)]
+    rows = [(i, t if i < 600 else " ".join(w + "%" for w in t.split()), "en", "s", 1, None, None, None) for i, t in enumerate(texts)]
+    kept = {x.doc_id for x in Q.quality_filter(spark.createDataFrame(rows, DOCS)).collect()}
+    assert kept == set(range(600))

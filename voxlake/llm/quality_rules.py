@@ -3,8 +3,9 @@
 Base statistics come from whole texts. Each text's statistics are transformed to five numbers
 (logarithms of rates, on a grid of 1/64 so that all sums are exact integers). For each
 language and source, the minimum covariance determinant is estimated over all its rows by
-concentration steps: start from medians and quartile ranges, keep the share ``SUPPORT`` of
-rows with the smallest distances, take their mean and covariance, repeat. Every step is one
+concentration steps: start from medians and median absolute deviations, keep the half of the
+rows with the smallest distances, take their mean and covariance, repeat until they stay (so up
+to nearly half of a group may be alike and bad). Every step is one
 partial aggregation of counts and moments by distance bin, so a group of any size, also a hot
 one, is reduced before the shuffle. Rows whose squared Mahalanobis distance exceeds a
 chi-square quantile are rejected.
@@ -31,9 +32,8 @@ from voxlake.session import cut, stage
 
 WINDOW = 8
 GRID = 64
-#: Share of a group's rows that determines its estimate.
-SUPPORT = 0.75
-STEPS = 3
+#: Steps end when no group's estimate changes, or after so many.
+STEPS = 20
 #: Rows are rejected beyond this quantile of chi-square.
 TAIL = 1 - 1e-6
 #: Standard deviations are held at these values at least: word length, symbols, repeated lines, repeated words, words.
@@ -124,8 +124,9 @@ def chi2_quantile(q: float, k: int) -> float:
     return hi
 
 
-#: Makes the covariance of the innermost rows that of all rows, were they normal.
-CONSISTENCY = SUPPORT / chi2_cdf(chi2_quantile(SUPPORT, P), P + 2)
+def consistency(share: float) -> float:
+    """Makes the covariance of the innermost share of rows that of all rows, were they normal."""
+    return share / chi2_cdf(chi2_quantile(share, P), P + 2) if share < 1 else 1.0
 
 
 def _estimate(mean: np.ndarray, cov: np.ndarray) -> list[list[float]]:
@@ -134,14 +135,18 @@ def _estimate(mean: np.ndarray, cov: np.ndarray) -> list[list[float]]:
     return [mean.tolist(), inverse.ravel().tolist()]
 
 
+def _median(values: np.ndarray, counts: np.ndarray) -> float:
+    order = np.argsort(values, kind="stable")
+    return values[order][np.searchsorted(np.cumsum(counts[order]), counts.sum() / 2)]
+
+
 def _start(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Medians and quartile ranges of a group, from counts of each feature's grid values."""
+    """Medians and median absolute deviations of a group, from counts of each feature's grid values."""
     mean, scale = np.zeros(P), np.zeros(P)
     for k, part in pdf.groupby("k"):
-        part = part.sort_values("v")
-        at = np.searchsorted(np.cumsum(part["n"].to_numpy()), np.array([0.25, 0.5, 0.75]) * part["n"].sum())
-        low, mid, high = part["v"].to_numpy()[np.minimum(at, len(part) - 1)]
-        mean[k], scale[k] = mid, (high - low) / 1.349
+        v, n = part["v"].to_numpy(), part["n"].to_numpy()
+        mean[k] = _median(v, n)
+        scale[k] = 1.4826 * _median(np.abs(v - mean[k]), n)
     center, inverse = _estimate(mean, np.diag(scale**2))
     return pd.DataFrame({"g0": [pdf["g0"].iloc[0]], "g1": [pdf["g1"].iloc[0]], "center": [center], "inverse": [inverse]})
 
@@ -150,13 +155,13 @@ def _step(pdf: pd.DataFrame) -> pd.DataFrame:
     """The next estimate of a group, from counts and moments of its rows by distance bin."""
     pdf = pdf.sort_values("bin")
     n = pdf["n"].to_numpy()
-    inner = int(np.searchsorted(np.cumsum(n), math.ceil(SUPPORT * n.sum()))) + 1
+    inner = int(np.searchsorted(np.cumsum(n), min(n.sum(), (n.sum() + P + 1) // 2))) + 1
     total = float(n[:inner].sum())
     mean = np.array([pdf[f"s{i}"].to_numpy()[:inner].sum() for i in range(P)]) / total
     cov = np.zeros((P, P))
     for i, j in PAIRS:
         cov[i, j] = cov[j, i] = pdf[f"p{i}{j}"].to_numpy()[:inner].sum() / total - mean[i] * mean[j]
-    center, inverse = _estimate(mean, CONSISTENCY * cov)
+    center, inverse = _estimate(mean, consistency(total / n.sum()) * cov)
     return pd.DataFrame({"g0": [pdf["g0"].iloc[0]], "g1": [pdf["g1"].iloc[0]], "center": [center], "inverse": [inverse]})
 
 
@@ -211,12 +216,17 @@ def judge(docs: DataFrame, carry: list[str], text_column: str = "text", group: t
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col(f"x{i}").alias("v")) for i in range(P))))
     counted = vectors.select("g0", "g1", values.alias("e")).groupBy("g0", "g1", "e.k", "e.v").agg(F.count(F.lit(1)).alias("n"))
     estimates = cut(counted.groupBy("g0", "g1").applyInPandas(_start, ESTIMATE))
+    mark = None
     for _ in range(STEPS):
         placed = _with_estimate(vectors, estimates, small)
         bins = F.least(F.floor(BINS * F.log2(1 + _distance())), F.lit(TOP_BIN)).cast("int")
         moments = [F.sum(f"x{i}").alias(f"s{i}") for i in range(P)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"p{i}{j}") for i, j in PAIRS]
         by_bin = placed.groupBy("g0", "g1", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *moments)
         estimates = cut(by_bin.groupBy("g0", "g1").applyInPandas(_step, ESTIMATE))
+        seen = estimates.agg(F.bit_xor(F.xxhash64("g0", "g1", "center", "inverse"))).first()[0]
+        if seen == mark:
+            break
+        mark = seen
     placed = _with_estimate(grouped(rows).select("*", *_features()), estimates, small)
     near = F.coalesce(_distance(), F.lit(0.0)) <= chi2_quantile(TAIL, P)
     return placed.select(F.col("row.mine.kept").alias("row"), *STATS, "base_failed", (~F.col("base_failed") & near).alias("kept"))
