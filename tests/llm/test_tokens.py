@@ -1,13 +1,16 @@
 import random
+import resource
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxlake.llm import packing, queries, token_bin, token_count, tokenizing
+from voxlake.session import fresh_path
+from voxlake.llm import common, packing, queries, token_bin, token_count, tokenizing
 
 SF = "/root/testdata/sf0.001"
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -32,16 +35,51 @@ def edge_rows(spark):
 
 
 def test_encoder_equals_the_library(odd, texts):
-    e = tokenizing.encoder(BPE)
-    for t in [*odd, *texts.values()]:
-        assert e.encode(t).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    e = tokenizing.BpeEncoder(BPE)
+    rows = [*odd, None, "", "\n", " ", "a\tb c", "\tx", "\t\tx", "x\t", "a \u3000b", *texts.values()]
+    random.Random(1).shuffle(rows)
+    want = [e.tokenizer.encode(t or "", add_special_tokens=False).ids for t in rows]
+    assert [e.encode(t).tolist() for t in rows] == want
+    for lo, hi in ((0, 7), (7, 900), (900, len(rows))):
+        for _ in range(2):  # the second time from the table
+            ids, sizes = e.encode_all(pa.array(rows[lo:hi], pa.string()), 7)
+            cuts = np.cumsum(sizes)
+            assert [x.tolist() for x in np.split(ids, cuts[:-1])] == [[*w, 7] for w in want[lo:hi]]
+    assert e.encode_all(pa.array([], pa.string()))[0].tolist() == []
+
+
+def test_word_table_is_bounded(monkeypatch):
+    monkeypatch.setattr(common.WordTable, "WORDS", 100)
+    e = tokenizing.BpeEncoder(BPE)
+    r = random.Random(2)
+    rows = [" ".join(r.choice(["the", "of"]) if r.random() < 0.5 else "".join(r.choices("abcdé,", k=r.randint(1, 9))) for _ in range(200)) for _ in range(60)]
+    for lo in range(0, 60, 6):
+        ids, _ = e.encode_all(pa.array(rows[lo : lo + 6]))
+        assert ids.tolist() == [i for t in rows[lo : lo + 6] for i in e.tokenizer.encode(t, add_special_tokens=False).ids]
+        assert len(e.table.words) <= 1200
+    assert {"the", "of"} <= set(e.table.words.to_pylist())
+
+
+def test_text_without_spaces_stays_in_bounds():
+    """100,000 texts that are one word of 500 letters each: nothing of them is kept."""
+    e = tokenizing.BpeEncoder(BPE)
+    r = random.Random(4)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for _ in range(20):
+        rows = pa.array(["".join(map(chr, r.choices(range(0x4E00, 0x4F00), k=500))) for _ in range(250)])
+        for _ in range(20):
+            assert len(e.encode_all(rows)[0])
+    assert len(e.table.words) == 0
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
 
 
 def test_counts_equal_the_library(odd, texts):
     path = public_tokenizers.path("piece_bpe_32k.model")
     ours, library = token_count.counter(path), token_count.reference(path)
-    for t in [*odd, *texts.values()]:
-        assert ours.text(t) == len(library.encode(t, add_special_tokens=False).ids), t
+    rows = [None, "", " ", "  ", "▁", *odd, *texts.values()]
+    want = [len(library.encode(t or "", add_special_tokens=False).ids) for t in rows]
+    for lo, hi in ((0, 3), (3, 600), (600, len(rows)), (0, 600)):
+        assert ours.texts(pa.array(rows[lo:hi])).tolist() == want[lo:hi]
 
 
 def test_count_ties_and_unknown_runs():
@@ -57,7 +95,7 @@ def test_count_ties_and_unknown_runs():
         ours = token_count.UnigramCounter(pieces, 0, fallback)
         for _ in range(3000):
             t = "".join(r.choice("aabb cé") for _ in range(r.randint(0, 14)))
-            assert ours.text(t) == len(library.encode(t).ids), t
+            assert ours.texts(pa.array([t])).tolist() == [len(library.encode(t).ids)], t
 
 
 def test_count_query(spark, texts):
@@ -180,6 +218,13 @@ def test_token_files(spark, texts, monkeypatch):
     df = edge_rows(spark)
     out = sorted((tuple(r) for r in token_bin.token_files_round_trip(df, BPE).collect()), key=lambda r: r[1])
     assert [r[0] for r in out] == [None, 1, 2, 3, 3, 3, 5]
+    monkeypatch.setattr(token_bin, "FILE_TOKENS", 40)
+    same = spark.range(400).select(F.lit(None).cast("long").alias("doc_id"), F.lit("some words here").alias("text")).repartition(3)
+    folder = fresh_path(spark, "t")
+    files = token_bin.write_token_files(same, folder, BPE, 2)
+    assert files.count() > 10 and files.agg(F.max("n_docs")).first()[0] < 100
+    back = sorted(r.start for r in token_bin.read_token_files(files, folder).collect())
+    assert back == [4 * k for k in range(400)]
     assert sorted((r[2], r[3]) for r in out) == sorted((w[2], w[3]) for w in want([(r.doc_id, r.text) for r in df.collect()]))
     assert [r[1] for r in out] == np.cumsum([0, *(r[2] for r in out)])[:-1].tolist()
     assert token_bin.token_files_round_trip(df.limit(0), BPE).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
@@ -49,3 +50,72 @@ def table(columns: dict[str, tuple[object, pa.DataType]]) -> pa.RecordBatch:
 def packed(names: list[str]) -> Column:
     """A struct of columns, whatever their names."""
     return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in names))
+
+
+class WordTable:
+    """Words and a list of numbers for each, found and kept by Arrow; it holds a bounded number of bytes.
+
+    A full table keeps the half of its words that were used most, and their uses count half from
+    then on. Words of more than ``LONGEST`` bytes are not kept.
+    """
+
+    #: Words and bytes of a table, and the longest word.
+    WORDS, BYTES, LONGEST = 700_000, 64 << 20, 64
+
+    def __init__(self) -> None:
+        self.words = pa.array([], pa.large_string())
+        self.flat, self.sizes, self.uses = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def resolve(self, words: pa.Array, uses: np.ndarray, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all given words one after another, where each word's begin, and how many it has; ``make`` gives those of new words."""
+        at = np.array(pa.compute.index_in(words, value_set=self.words).fill_null(-1), dtype=np.int64)
+        known = at >= 0
+        self.uses[at[known]] += uses[known]
+        new = np.flatnonzero(~known)
+        missing = words.take(pa.array(new))
+        flat, sizes = make(missing)
+        both, all_sizes = np.concatenate([self.flat, flat]), np.concatenate([self.sizes, sizes])
+        at[new] = len(self.sizes) + np.arange(len(new))
+        begins = np.cumsum(all_sizes) - all_sizes
+        out = both, begins[at], all_sizes[at]
+        short = np.asarray(pa.compute.less_equal(pa.compute.binary_length(missing), self.LONGEST))
+        held = pa.concat_arrays([self.words, missing])
+        counts = np.concatenate([self.uses, uses[new]])
+        keep = np.concatenate([np.ones(len(self.sizes), dtype=bool), short])
+        if keep.sum() > self.WORDS or held.nbytes + both.nbytes > self.BYTES:
+            most = np.argsort(np.where(keep, -counts, 1), kind="stable")[: min(int(keep.sum()), len(keep) // 2)]
+            keep[:] = False
+            keep[most] = True
+            counts >>= 1
+        if not keep.all():
+            both = both[np.repeat(keep, all_sizes)]
+            held = held.filter(pa.array(keep))
+            all_sizes, counts = all_sizes[keep], counts[keep]
+        self.words, self.flat, self.sizes, self.uses = held, both, all_sizes, counts
+        return out
+
+
+def split_words(texts: pa.Array, prefix: str, replace: dict[str, str]) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Split ``prefix`` and each text, after replacements, at every space.
+
+    Returns where each text's words begin (and the end of the last), the number of each word,
+    and the different words by number. A null text is an empty one.
+    """
+    ready = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    for old, new in replace.items():
+        ready = pa.compute.replace_substring(ready, old, new)
+    ready = pa.compute.binary_join_element_wise(pa.scalar(prefix, pa.large_string()), ready, pa.scalar("", pa.large_string()))
+    parts = pa.compute.split_pattern(ready, " ")
+    coded = parts.flatten().dictionary_encode()
+    heads = np.asarray(parts.offsets).astype(np.int64)
+    return heads - heads[0], np.asarray(coded.indices), coded.dictionary
+
+
+def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, step: int = 1 << 19) -> np.ndarray:
+    """The stretches of ``flat`` that begin and last as given, one after another."""
+    out = []
+    for lo in range(0, len(begins), step):
+        b, n = begins[lo : lo + step], sizes[lo : lo + step]
+        ends = np.cumsum(n)
+        out.append(flat[np.repeat(b - ends + n, n) + np.arange(int(ends[-1]))])
+    return np.concatenate(out) if out else flat[:0]

@@ -29,6 +29,8 @@ from voxlake.session import cut, ship
 
 #: Pieces of one length and bucket, about, that are numbered together.
 BUCKET_ROWS = 200_000
+#: Text that is tokenized at once.
+TOKEN_RUN = 8 << 20
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -97,39 +99,40 @@ def placement(found: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, tuple
     return out
 
 
-def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of a document's pieces: one, or ``capacity`` each with the first one shorter."""
-    if n <= capacity:
-        return [(0, n)]
-    first = n % capacity or capacity
-    return [(0, first), *((s, capacity) for s in range(first, n, capacity))]
+def cut_points(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Document, piece, start and length of all pieces: one each, or ``capacity`` ids each with the first one shorter."""
+    count = np.maximum(1, -(-sizes // capacity))
+    of = np.repeat(np.arange(len(sizes)), count)
+    piece = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    # the pieces end at the document's end, so starts go back from there
+    start = np.maximum(0, sizes[of] - (count[of] - piece) * capacity)
+    end = sizes[of] - (count[of] - piece - 1) * capacity
+    return of, piece, start, end - start
 
 
-PIECE = "piece int, start long, length long, ids_crc32 long"
+PIECE = "n long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, piece, start, length, ids_crc32) of every document's pieces; its ids, then the end id."""
-    ready = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    """(id, n, piece, start, length, ids_crc32) of every document's pieces; its ids, then the end id. n numbers the rows."""
+    ready = docs.select(F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("n"), F.col(text_column).alias("text"))
     kind = ready.schema["id"].dataType.simpleString()
 
     def each(batch: pa.RecordBatch):
-        encode, end = encoder(tokenizer_path).encode_bytes, int(end_id).to_bytes(4, "little")
-        for part in runs(batch, 1):
-            rows, of = [], []
-            for k, text in enumerate(part.column(1).to_pylist()):
-                ids = memoryview(encode(text or "") + end)
-                for i, (start, n) in enumerate(cut_points(len(ids) // 4, capacity)):
-                    rows.append((i, start, n, crc32(ids[4 * start : 4 * (start + n)])))
-                    of.append(k)
-            piece, start, length, crc = zip(*rows, strict=True)
-            yield table({"id": (part.column(0).take(pa.array(of, pa.int64())), None), "piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64())})
+        for part in runs(batch, 2, TOKEN_RUN):
+            ids, sizes = encoder(tokenizer_path).encode_all(part.column(2), end_id)
+            of, piece, start, length = cut_points(sizes, capacity)
+            raw = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            stops = 4 * np.cumsum(length)
+            crc = [crc32(raw[a:b]) for a, b in zip((stops - 4 * length).tolist(), stops.tolist(), strict=True)]
+            take = pa.array(of)
+            yield table({"id": (part.column(0).take(take), None), "n": (part.column(1).take(take), None), "piece": (piece, pa.int32()), "start": (start, pa.int64()), "length": (length, pa.int64()), "ids_crc32": (crc, pa.int64())})
 
     return map_arrow(ready, each, f"id {kind}, {PIECE}")
 
 
 def pack(table_of_pieces: DataFrame, capacity: int) -> DataFrame:
-    """Add sequence_id and offset to rows with a ``length`` from 1 to capacity; the rows are read three times."""
+    """Add sequence_id and offset to rows with a ``length`` from 1 to capacity, which (n, piece) tell apart; the rows are read three times."""
     spark = table_of_pieces.sparkSession
     ship(spark)
     rows = table_of_pieces
@@ -138,12 +141,12 @@ def pack(table_of_pieces: DataFrame, capacity: int) -> DataFrame:
         return rows.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     runs_of = spark.sparkContext.broadcast(placement(patterns(counts, capacity)))
     buckets = max(16, -(-max(counts.values()) // BUCKET_ROWS))
-    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    keyed = rows.withColumn("bucket", F.pmod(F.xxhash64("n", "piece"), F.lit(buckets)).cast("int"))
     # numbers within a length: how many lie in lower buckets, and the row number in the bucket
     sizes = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = sizes.select(F.col("length").alias("of_length"), F.col("bucket").alias("of_bucket"), F.coalesce(before, F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32", "start")
+    order = Window.partitionBy("length", "bucket").orderBy("n", "piece")
     numbered = keyed.withColumn("number", F.row_number().over(order) - 1)
     joined = numbered.join(bases, (F.col("length") == F.col("of_length")) & (F.col("bucket") == F.col("of_bucket")))
     ready = joined.select(*rows.columns, (F.col("number") + F.col("base")).alias("number"))
@@ -177,4 +180,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capaci
     columns are not read. Texts are read once: the pieces, without ids, are checkpointed.
     """
     found = cut(pieces(docs, tokenizer_path, end_id, capacity, id_column, text_column))
-    return pack(found, capacity).withColumnRenamed("id", id_column)
+    return pack(found, capacity).drop("n").withColumnRenamed("id", id_column)

@@ -1,9 +1,9 @@
 """Binary token files: canonical length-limited Huffman codes of token ids.
 
 Texts are tokenized once; their ids are staged in the shared folder. Counts over all ids give
-one code (package-merge, canonical order). Documents are coded, dealt to files by ranges of
-their ids and written in ascending order. Every file has the code's lengths, blocks that can
-be decoded alone, and an index of the blocks at its end.
+one code (package-merge, canonical order). Documents are dealt to files by ranges of their ids
+(and of row numbers where ids are equal), coded and written in ascending order. Every file has
+the code's lengths, blocks that can be decoded alone, and an index of the blocks at its end.
 
 A block holds documents: id, number of tokens, coded bytes, and the bit offset of every
 256th token. A reader decodes all stretches between these checkpoints side by side, one
@@ -32,9 +32,13 @@ from voxlake.session import cut, fresh_path, ship, stage
 MAGIC = b"HUFTOK1\n"
 MAX_BITS = 16
 STRIDE = 256
+#: Tokens that are coded at once.
+SLICE = 1 << 20
 #: Tokens of a block and of a file, about.
 BLOCK_TOKENS = 1 << 20
 FILE_TOKENS = 1 << 23
+#: Text that is tokenized at once.
+TOKEN_RUN = 8 << 20
 
 
 def code_lengths(counts: np.ndarray, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -88,31 +92,42 @@ class Code:
         self.length[: spans.sum()] = np.repeat(lengths[order], spans)
 
     def encode(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[list[bytes], list[bytes]]:
-        """Coded bytes and checkpoints of documents that have ``sizes`` of the ids each (one at least)."""
-        bits = self.lengths[ids].astype(np.int64)
+        """Coded bytes and checkpoints of documents that have ``sizes`` of the ids each (one at least), in slices of SLICE tokens.
+
+        Checkpoints are 32-bit: a document of 2^32 coded bits or more (about 300 million tokens) is an error.
+        """
+        bits = self.lengths[ids]
         ends = np.cumsum(sizes)
         begins = ends - sizes
-        total = np.cumsum(bits)
-        doc_bits = np.add.reduceat(bits, begins)
-        doc_bytes = (doc_bits + 7) // 8
-        byte_ends = np.cumsum(doc_bytes)
-        base = (byte_ends - doc_bytes) * 8 - (total[begins] - bits[begins])
-        at = total - bits + np.repeat(base, sizes)
-        shifted = self.codes[ids] << (64 - (at & 31) - bits).astype(np.uint64)
-        word = at >> 5
-        cuts = np.flatnonzero(np.diff(word, prepend=-1))
+        doc_bits = np.add.reduceat(bits, begins, dtype=np.int64)
+        if doc_bits.max() >= 1 << 32:
+            raise ValueError("a document of 2^32 coded bits or more")
+        byte_ends = np.cumsum((doc_bits + 7) // 8)
+        base = (byte_ends - (doc_bits + 7) // 8) * 8
         out = np.zeros(int(byte_ends[-1]) // 4 + 3, dtype=np.uint32)
-        high = np.bitwise_or.reduceat((shifted >> np.uint64(32)).astype(np.uint32), cuts)
-        low = np.bitwise_or.reduceat((shifted & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)
-        out[word[cuts]] |= high
-        out[word[cuts] + 1] |= low
+        found, carry = [], 0
+        for lo in range(0, len(ids), SLICE):
+            hi = min(lo + SLICE, len(ids))
+            width = bits[lo:hi].astype(np.int64)
+            before = np.cumsum(width) - width
+            first, last = np.searchsorted(ends, lo, side="right"), np.searchsorted(begins, hi, side="left")
+            head = np.maximum(begins[first:last], lo) - lo
+            offset = np.where(begins[first:last] >= lo, base[first:last], carry) - before[head]
+            held = np.diff(head, append=hi - lo)
+            at = before + np.repeat(offset, held)
+            carry = int(at[-1] + width[-1])
+            shifted = self.codes[ids[lo:hi]] << (64 - (at & 31) - width).astype(np.uint64)
+            word = at >> 5
+            cuts = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[cuts]] |= np.bitwise_or.reduceat((shifted >> np.uint64(32)).astype(np.uint32), cuts)
+            out[word[cuts] + 1] |= np.bitwise_or.reduceat((shifted & np.uint64(0xFFFFFFFF)).astype(np.uint32), cuts)
+            checked = np.flatnonzero((np.arange(lo, hi) - np.repeat(begins[first:last], held)) % STRIDE == 0)
+            found.append((at[checked] - np.repeat(base[first:last], held)[checked]).astype("<u4"))
         raw = out.astype(">u4").tobytes()
-        first = at[begins]
-        coded, marks = [], []
-        for b, e, n, lo, hi in zip(begins.tolist(), ends.tolist(), first.tolist(), (byte_ends - doc_bytes).tolist(), byte_ends.tolist(), strict=True):
-            coded.append(raw[lo:hi])
-            marks.append((at[b:e:STRIDE] - n).astype("<u4").tobytes())
-        return coded, marks
+        marks = np.concatenate(found).tobytes()
+        marked = 4 * np.cumsum(-(-sizes // STRIDE))
+        cut = lambda data, stops: [data[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return cut(raw, byte_ends.tolist()), cut(marks, marked.tolist())
 
     def decode(self, raw: bytes, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """ids of stretches of at most STRIDE tokens that begin at bit ``at``; all stretches advance together."""
@@ -214,22 +229,28 @@ class TokenFileReader:
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_column: str, text_column: str) -> DataFrame:
-    """(id, n_tokens, ids): every text's ids and the end id, as unsigned 16- or 32-bit integers."""
-    ready = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    """(id, n, n_tokens, ids): every text's ids and the end id, as unsigned 16- or 32-bit integers; n numbers the rows."""
+    ready = docs.select(F.col(id_column).cast("long").alias("id"), F.monotonically_increasing_id().alias("n"), F.col(text_column).alias("text"))
 
     def each(batch: pa.RecordBatch):
-        encode, end = encoder(tokenizer_path).encode_bytes, int(end_id).to_bytes(4, "little")
-        for part in runs(batch, 1):
-            ids = [np.frombuffer(encode(t or "") + end, "<u4") for t in part.column(1).to_pylist()]
-            wide = max(int(x.max()) for x in ids) >= 1 << 16
-            raw = [x.tobytes() if wide else x.astype("<u2").tobytes() for x in ids]
-            yield table({"id": (part.column(0), None), "n_tokens": ([len(x) for x in ids], pa.int64()), "ids": (raw, pa.binary())})
+        for part in runs(batch, 2, TOKEN_RUN):
+            ids, sizes = encoder(tokenizer_path).encode_all(part.column(2), end_id)
+            flat = ids.astype("<u4" if ids.max() >= 1 << 16 else "<u2", copy=False)
+            offsets = np.concatenate([[0], np.cumsum(sizes)]) * flat.itemsize
+            raw = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(flat)])
+            yield table({"id": (part.column(0), None), "n": (part.column(1), None), "n_tokens": (sizes, pa.int64()), "ids": (raw.cast(pa.binary()), None)})
 
-    return map_arrow(ready, each, "id long, n_tokens long, ids binary")
+    return map_arrow(ready, each, "id long, n long, n_tokens long, ids binary")
 
 
-def _ids(raw: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
+def _ids(raw: pa.Array, sizes: np.ndarray) -> np.ndarray:
+    """The ids of all documents, one after another."""
+    bounds = np.frombuffer(raw.buffers()[1], np.int32, len(raw) + 1, 4 * raw.offset).astype(np.int64)
+    width = np.diff(bounds) // sizes
+    data = raw.buffers()[2]
+    if (width == width[0]).all():
+        return np.frombuffer(data, f"<u{width[0]}", int(sizes.sum()), int(bounds[0]))
+    return np.concatenate([np.frombuffer(data, f"<u{w}", n, b).astype(np.uint32) for w, n, b in zip(width.tolist(), sizes.tolist(), bounds.tolist(), strict=False)])
 
 
 def global_counts(staged: DataFrame) -> np.ndarray:
@@ -238,13 +259,10 @@ def global_counts(staged: DataFrame) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            for raw, n in zip(batch.column(1).to_pylist(), batch.column(0).to_pylist(), strict=True):
-                c = np.bincount(_ids(raw, n))
-                if len(c) > len(total):
-                    c[: len(total)] += total
-                    total = c
-                else:
-                    total[: len(c)] += c
+            for part in runs(batch, 1) if batch.num_rows else ():
+                c = np.bincount(_ids(part.column(1), np.asarray(part.column(0))), minlength=len(total))
+                c[: len(total)] += total
+                total = c
         used = np.flatnonzero(total)
         yield table({"token": (used, pa.int64()), "n": (total[used], pa.int64())})
 
@@ -260,53 +278,38 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Write all documents in ascending id order; returns (part, path, n_docs, n_tokens, n_bytes) of each file.
 
     File ``part`` k holds lower ids than k + 1. A null text is the end id alone; null ids come
-    first; repeated ids stay together, in an order of their codes; no rows, no file.
+    first; equal ids are in the order of their rows and may go on in the next file, so a file is
+    never larger for them; no rows, no file.
     """
     spark = docs.sparkSession
     staged = stage(tokenize(docs, tokenizer_path, end_id, id_column, text_column), "token-ids", "zstd")
     counts = global_counts(staged)
     lengths = code_lengths(counts)
     n_files = max(1, -(-int(counts.sum()) // FILE_TOKENS))
-    cuts = staged.select(F.percentile_approx("id", [k / n_files for k in range(1, n_files)] or [0.5], 10_000).alias("q")).first()["q"] or []
-    bounds = np.unique(np.array(cuts if n_files > 1 else [], dtype=np.int64))
     ship(spark)
-
-    def encode(batch: pa.RecordBatch):
-        code = Code(lengths)
-        for part in runs(batch, 2):
-            n = np.asarray(part.column(1))
-            ids = np.concatenate([_ids(r, k) for r, k in zip(part.column(2).to_pylist(), n.tolist(), strict=True)]).astype(np.int64)
-            coded, marks = code.encode(ids, n)
-            of = np.searchsorted(bounds, np.asarray(part.column(0).fill_null(np.iinfo(np.int64).min)), side="right")
-            yield table({"part": (of, pa.int32()), "id": (part.column(0), None), "n_tokens": (part.column(1), None), "coded": (coded, pa.binary()), "marks": (marks, pa.binary())})
-
-    coded = map_arrow(staged.select("id", "n_tokens", "ids"), encode, "part int, id long, n_tokens long, coded binary, marks binary")
-    dealt = coded.repartition(n_files, "part").sortWithinPartitions("part", "id", "coded")
+    dealt = staged.repartitionByRange(n_files, "id", "n").sortWithinPartitions("id", "n").select(F.spark_partition_id().alias("part"), "id", "n_tokens", "ids")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = open_fs(folder)
-        fs.create_dir(base, recursive=True)
+        code, writer, at = Code(lengths), None, 0
+        for batch in batches:
+            for part in runs(batch, 3) if batch.num_rows else ():
+                if writer is None:
+                    fs.create_dir(base, recursive=True)
+                    at = part.column(0)[0].as_py()
+                    temporary = f"{base}/_{uuid.uuid4().hex}"
+                    writer = TokenFileWriter(fs.open_output_stream(temporary), lengths)
+                sizes = np.asarray(part.column(2))
+                coded, marks = code.encode(_ids(part.column(3), sizes), sizes)
+                for row in zip(part.column(1).to_pylist(), sizes.tolist(), coded, marks, strict=True):
+                    writer.add(*row)
         done: list[tuple] = []
-        writer, at = None, None
-
-        def close() -> None:
+        if writer:
             writer.finish()
             writer.sink.close()
             name = f"{base}/{at:06d}-{uuid.uuid4().hex}.tok"
-            fs.move(writer.name, name)
+            fs.move(temporary, name)
             done.append((at, name, writer.docs, writer.tokens, writer.offset))
-
-        for batch in batches:
-            for part, doc_id, n, raw, marks in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                if part != at:
-                    if writer:
-                        close()
-                    temporary = f"{base}/_{uuid.uuid4().hex}"
-                    writer, at = TokenFileWriter(fs.open_output_stream(temporary), lengths), part
-                    writer.name = temporary
-                writer.add(doc_id, n, raw, marks)
-        if writer:
-            close()
         kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
         names = ("part", "path", "n_docs", "n_tokens", "n_bytes")
         yield table({c: ([d[i] for d in done], k) for i, (c, k) in enumerate(zip(names, kinds, strict=True))})
@@ -320,12 +323,12 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
     ship(files.sparkSession)
     # one row a file: their running sums are small
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    ready = files.select("path", F.coalesce(before, F.lit(0)).alias("start"))
+    ready = files.select("part", "path", F.coalesce(before, F.lit(0)).alias("start"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_fs(folder)
         for batch in batches:
-            for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_file(path) as source:
                     reader = TokenFileReader(source)
                     for k in range(len(reader.index)):
@@ -337,7 +340,7 @@ def read_token_files(files: DataFrame, folder: str) -> DataFrame:
                         start += int(ends[-1])
 
     n = max(1, files.count())
-    return ready.repartition(n, "path").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
+    return ready.repartitionByRange(n, "part").mapInArrow(read, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
