@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import map_arrow, runs, table
+from voxlake.llm.common import WordTable, map_arrow, runs, split_words, table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words whose counts a worker keeps; beyond it words are counted anew.
-MEMO = 500_000
+#: Text whose different words are counted at once.
+RUN = 8 << 20
 
 
 def vocabulary(path: str) -> tuple[list[tuple[str, float]], int, bool]:
@@ -39,13 +39,13 @@ def vocabulary(path: str) -> tuple[list[tuple[str, float]], int, bool]:
     return pieces, p.unk_id(), all(f"<0x{b:02X}>" in names for b in range(256))
 
 
-class UnigramCounter(dict):
-    """word without its mark -> pieces; a dict that counts what it has not seen."""
+class UnigramCounter:
+    """Pieces of words and texts; a bounded table keeps those of frequent words."""
 
     def __init__(self, pieces: list[tuple[str, float]], unknown_id: int, byte_fallback: bool) -> None:
         import ahocorasick
 
-        super().__init__()
+        self.table = WordTable()
         self.byte_fallback = byte_fallback
         # the library's table of pieces keeps the last of equal strings
         best = dict(pieces)
@@ -57,12 +57,6 @@ class UnigramCounter(dict):
                 self.automaton.add_word(piece, (len(piece), score, piece == pieces[unknown_id][0]))
         self.automaton.make_automaton()
 
-    def __missing__(self, word: str) -> int:
-        n = self.count(MARK + word)
-        if len(self) < MEMO:
-            self[word] = n
-        return n
-
     def count(self, word: str) -> int:
         """Pieces of the best path through one word."""
         n = len(word)
@@ -93,14 +87,21 @@ class UnigramCounter(dict):
             return 1
         return len(text.encode())
 
-    def text(self, text: str) -> int:
-        """Pieces of a whole text."""
-        if not text:
-            return 0
-        words = text.replace(MARK, " ").split(" ")
-        if not words[0]:
-            del words[0]
-        return sum(map(self.__getitem__, words))
+    def _new(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        counts = [self.count(MARK + w) for w in words.to_pylist()]
+        return np.array(counts, dtype=np.uint32), np.ones(len(counts), dtype=np.int64)
+
+    def texts(self, texts: pa.Array) -> np.ndarray:
+        """Pieces of each whole text; null is empty."""
+        if not len(texts):
+            return np.empty(0, np.int64)
+        heads, index, words = split_words(texts, "", {MARK: " "})
+        flat, begins, _ = self.table.resolve(words, np.bincount(index, minlength=len(words)), self._new)
+        pieces = flat[begins].astype(np.int64)[index]
+        first = heads[:-1]
+        # the mark that begins a text is that of its first word
+        pieces[first[np.asarray(pa.compute.equal(words, ""))[index[first]]]] = 0
+        return np.add.reduceat(pieces, first)
 
 
 _LOADED: dict[str, UnigramCounter] = {}
@@ -131,9 +132,8 @@ def token_counts(docs: DataFrame, vocabulary_path: str, id_column: str = "doc_id
     kind = docs.schema[id_column].dataType.simpleString()
 
     def each(batch: pa.RecordBatch):
-        count = counter(vocabulary_path).text
-        for part in runs(batch, 1):
-            yield table({"id": (part.column(0), None), "n_tokens": ([count(t) for t in part.column(1).to_pylist()], pa.int64())})
+        for part in runs(batch, 1, RUN):
+            yield table({"id": (part.column(0), None), "n_tokens": (counter(vocabulary_path).texts(part.column(1)), pa.int64())})
 
     out = map_arrow(docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), each, f"id {kind}, n_tokens long")
     return out.withColumnRenamed("id", id_column)
