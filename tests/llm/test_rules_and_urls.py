@@ -30,8 +30,8 @@ def test_repeat_words_equals_brute_force(monkeypatch):
 
 
 def test_base_stats():
-    assert Q.base_stats("a b\u00a0c\x1cd\n\nx $%\r\n  \nx $%\r") == (6, 12, 4, 1, 0)
-    assert Q.base_stats(None) == Q.base_stats("") == (0, 0, 0, 0, 0)
+    assert Q.base_stats("a b\u00a0c\x1cd\n\nx $%\r\n  \nx $%\r")[:7] == (6, 12, 4, 1, 0, 4, 4)
+    assert Q.base_stats(None) == Q.base_stats("") == (0,) * 8
     assert Q.base_stats(" \t\n ")[0] == 0
 
 
@@ -126,3 +126,77 @@ def test_outliers_of_a_group_of_which_two_fifths_are_junk(spark):
     rows = [(i, t if i < 600 else " ".join(w + "%" for w in t.split()), "en", "s", 1, None, None, None) for i, t in enumerate(texts)]
     kept = {x.doc_id for x in Q.quality_filter(spark.createDataFrame(rows, DOCS)).collect()}
     assert kept == set(range(600))
+
+
+def test_base_columns_equal_sql(spark):
+    sql = """
+    WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    lines AS (SELECT doc_id, len(ls) - len(list_distinct(ls)) AS dup FROM (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM w)),
+    win AS (SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+    covered AS (SELECT doc_id, count(DISTINCT p) AS r FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM again) GROUP BY 1)
+    SELECT doc_id, len(ws), length(array_to_string(ws, '')), length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')), dup, coalesce(r, 0), len(ws) < 20 OR 100 * coalesce(r, 0) > 30 * len(ws)
+    FROM w JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id)"""
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS FROM '{SF}/documents.parquet'")
+    got = queries.op4_quality_rules(spark, SF).drop("kept").collect()
+    assert sorted(map(tuple, got)) == sorted(c.execute(sql).fetchall())
+
+
+def exact_mcd(x, target_center, target, seed):
+    """The same estimator with exact halves and many random starts."""
+    n = len(x)
+    half, r = Q.half_of(n), np.random.default_rng(seed)
+    factor = Q.consistency(half / n)
+
+    def inverse(cov):
+        return np.linalg.inv(Q.drawn(cov, n, target))
+
+    def far(mean, inv):
+        return np.einsum("ij,jk,ik->i", x - mean, inv, x - mean)
+
+    best = (np.inf,)
+    for _ in range(40):
+        some = r.choice(n, min(n, Q.P + 1), replace=False)
+        mean, inv = x[some].mean(0), inverse(np.cov(x[some].T, bias=True) if len(some) > 1 else np.zeros((Q.P, Q.P)))
+        last = np.inf
+        while True:
+            inner = np.argsort(far(mean, inv), kind="stable")[:half]
+            mean, cov = x[inner].mean(0), factor * np.cov(x[inner].T, bias=True).reshape(Q.P, Q.P)
+            inv, det = inverse(cov), np.linalg.slogdet(Q.drawn(cov, n, target))[1]
+            if det > last - 1e-9:
+                break
+            last = det
+        if det < best[0]:
+            best = (det, mean, inv)
+    core = x[far(*best[1:]) <= Q.chi2_quantile(Q.CORE, Q.P)]
+    cov = Q.drawn(Q.consistency(Q.CORE) * (np.cov(core.T, bias=True) if len(core) > 1 else np.zeros((Q.P, Q.P))), n, target)
+    mean, share = core.mean(0), n / (n + Q.PRIOR_ROWS)
+    return best[0], mean if target_center is None else share * mean + (1 - share) * target_center, cov
+
+
+def test_verdicts_equal_an_exact_estimator_and_need_its_covariance(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r.doc_id: r for r in Q.quality_verdicts(docs).collect()}
+    staged = Q.measure(docs, "text", ["doc_id", "lang", "source"]).where("n_words >= 20 and 100 * n_repeat_words <= 30 * n_words").select("row.*", *Q._features()).toPandas()
+    x = staged[[f"x{i}" for i in range(Q.P)]].to_numpy(float)
+    prior = np.diag([(Q.GRID * p) ** 2 for p in Q.PRIOR])
+    limit, far, plain = Q.chi2_quantile(Q.TAIL, Q.P), np.zeros(len(x)), np.zeros(len(x))
+    for lang, of_lang in staged.groupby("lang"):
+        rows = of_lang.index.to_numpy()
+        _, center, cov = exact_mcd(x[rows], None, prior, 1)
+        for source, of_source in of_lang.groupby("source"):
+            rows = of_source.index.to_numpy()
+            _, mean, mine = exact_mcd(x[rows], center, cov, 2)
+            d = x[rows] - mean
+            far[rows] = np.einsum("ij,jk,ik->i", d, np.linalg.inv(mine), d)
+            # the ablation: hand-set deviations in place of the covariance
+            plain[rows] = (d**2 / np.diag(prior)).sum(1)
+    verdict = np.array([got[i].kept for i in staged["doc_id"]])
+    assert (verdict == (far <= limit)).mean() > 0.995
+    assert 20 < (~verdict).sum() < 200
+    assert (verdict != (plain <= limit)).sum() > 0.3 * (~verdict).sum()
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    good = [k for i, k in zip(staged["doc_id"], verdict, strict=True) if labels.get(i) == 1]
+    bad = [k for i, k in zip(staged["doc_id"], verdict, strict=True) if labels.get(i) == 0]
+    assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
