@@ -39,6 +39,8 @@ LARGE_GROUP = 4096
 #: Large groups' keys are broadcast up to this number (16 MB), else joined by shuffle.
 BROADCAST_GROUPS = 500_000
 FAN = 8
+#: A key of more than this share of all rows is joined by broadcast, at most as many keys as that allows.
+HOT_SHARE = 1e-4
 #: Fingerprints of more rows are joined apart: by broadcast below BROADCAST_GROUPS of them, else by salt.
 HOT_COPIES, SALTS = 1000, 64
 #: Comparisons of queries with leaves that a step of the search may have to hold.
@@ -278,7 +280,9 @@ def sample_plan(n: int) -> tuple[int, int]:
     bits = max(12, n.bit_length() - 6)
     apart = math.acos(2 * MIN_SIMILARITY / (1 + MIN_SIMILARITY)) / math.pi
     share = [math.comb(WIDE_BITS, d) * apart**d * (1 - apart) ** (WIDE_BITS - d) for d in range(WIDE_RADIUS + 1)]
-    agree = [math.comb(WIDE_BITS - d, bits) / math.comb(WIDE_BITS, bits) for d in range(WIDE_RADIUS + 1)]
+    # a group that is dealt again must meet in a finer table as well; the plan holds even if every group is
+    finer = [1 - (1 - math.comb(WIDE_BITS - d, FINER_BITS) / math.comb(WIDE_BITS, FINER_BITS)) ** FINER_TABLES for d in range(WIDE_RADIUS + 1)]
+    agree = [f * math.comb(WIDE_BITS - d, bits) / math.comb(WIDE_BITS, bits) for d, f in enumerate(finer)]
     tables = 1
     while sum(s * (1 - (1 - a) ** tables) for s, a in zip(share, agree, strict=True)) < RECALL:
         tables += 1
@@ -427,28 +431,40 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     return rows.repartition(parts, "k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
 
 
+def with_value(rows: DataFrame, key: str, spread: str, values: DataFrame, total: int) -> DataFrame:
+    """Add ``value`` to rows, by ``key``; ``values`` has (of, value, n), with the number n of rows of each key.
+
+    Keys of more than HOT_SHARE of ``total`` rows, of which there are at most 1 / HOT_SHARE, are
+    joined by broadcast; their rows go to the other join under ``spread`` (of the same type) instead.
+    """
+    hot = values.where(F.col("n") > HOT_SHARE * total).select(F.col("of").alias("hot_of"), F.col("value").alias("hot_value"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_of"), "left")
+    dealt = marked.withColumn("dealt_by", F.when(F.col("hot_of").isNotNull(), F.col(spread)).otherwise(F.col(key)))
+    joined = dealt.join(values.select("of", F.col("value").alias("cold_value")), F.col("dealt_by") == F.col("of"), "left")
+    return joined.select(*rows.columns, F.coalesce("hot_value", "cold_value").alias("value"))
+
+
 def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that is not its component's least node, by alternating star steps."""
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("least")).withColumnRenamed("u", "of")
+    def with_least(pairs: DataFrame, total: int) -> DataFrame:
+        least = cut(pairs.groupBy("u").agg(F.min("v").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "of"))
+        return with_value(pairs, "u", "v", least, total)
 
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
-    mark = None
+    mark, total = None, 2 * now.count()
     while True:
         # large star: neighbours above a node point to the least of it and its neighbours
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = least(both)
-        big = both.join(m, F.col("u") == F.col("of")).where("v > u").select(F.col("v").alias("u"), F.least("u", "least").alias("v")).where("u <> v").distinct()
+        big = with_least(both, total).where("v > u").select(F.col("v").alias("u"), F.least("u", "value").alias("v")).where("u <> v").distinct()
         # small star: a node and its lower neighbours point to the least of these
-        m = least(big)
-        joined = big.join(m, F.col("u") == F.col("of"))
-        small = joined.select("v", "least").unionByName(joined.select(F.col("u").alias("v"), "least")).where("v <> least").select(F.col("v").alias("u"), F.col("least").alias("v")).distinct()
+        joined = with_least(big, total)
+        small = joined.select("v", "value").unionByName(joined.select(F.col("u").alias("v"), "value")).where("v <> value").select(F.col("v").alias("u"), F.col("value").alias("v")).distinct()
         now = cut(small)
         seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = seen
+        mark, total = seen, 2 * seen[0]
 
 
 def components(rows: DataFrame, edges: Callable[[DataFrame], DataFrame] = edges_within) -> DataFrame:
@@ -457,8 +473,9 @@ def components(rows: DataFrame, edges: Callable[[DataFrame], DataFrame] = edges_
     roots = star_components(edges(nodes))
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     firsts = members.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "first")
-    least = firsts.groupBy("root").agg(F.min("first").alias("component")).withColumnRenamed("root", "of_root")
-    linked = firsts.join(least, F.col("root") == F.col("of_root")).select("node", "component")
+    firsts = cut(firsts)
+    least = cut(firsts.groupBy("root").agg(F.min("first").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "of"))
+    linked = with_value(firsts, "root", "node", least, firsts.count()).select("node", F.col("value").alias("component"))
     named = cut(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component"), "copies"))
     # a fingerprint that many rows share must not bring them together in one task
     hot = named.where(F.col("copies") > HOT_COPIES).select(F.col("of_fp").alias("hot_fp"), F.col("component").alias("hot_component"))
