@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import resource
 from collections import Counter
 
 import numpy as np
@@ -128,6 +129,27 @@ def test_wide_components_link_similar_texts(spark):
     assert all(groups[i] == groups[c] for i, c in found.items())
 
 
+def test_star_steps_split_a_large_component(spark):
+    """One component of 200,000 nodes: a star, a path and a far end; no join task has a tenth of the rows."""
+    n = 200_000
+    edges = spark.range(1, n).select(F.col("id").alias("u"), F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") - 1).alias("v"))
+    out = simhash.star_components(edges)
+    assert out.count() == n - 1 and out.select("root").distinct().collect()[0][0] == 0
+    pairs = spark.range(1, n).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    least = pairs.groupBy("u").agg(F.min("v").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "of")
+    joined = simhash.with_value(pairs, "u", "v", least, n)
+    assert joined.where("value = 1").count() == n - 1
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        sizes = [r["count"] for r in simhash.with_value(pairs, "u", "v", least, n).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 4 and max(sizes) < 1.1 * n / 4
+
+
 def test_gray_rank():
     x = np.arange(256, dtype=np.uint64)
     assert np.array_equal(simhash.gray_rank(x ^ (x >> np.uint64(1))), x)
@@ -242,6 +264,40 @@ def test_scores_on_held_out_rows(spark):
     assert (good[:, None] > bad[None]).mean() > 0.93 and (good >= 0.7).mean() > 0.95
 
 
+def test_scores_equal_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    p = quality_cnn.train(docs, labels).p
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    scores = {r.doc_id: r.score for r in queries.op8_quality_network(spark, SF).collect()}
+    assert set(scores) == set(texts)
+    for i in sorted(texts)[:60]:
+        t = texts[i]
+        cells = -(-(len(t) + 8) // 32)
+        e = p["embed"][np.frombuffer(t.ljust(cells * 32, b"\0"), np.uint8)]
+        z = np.stack([e[k : k + 8].ravel() @ p["filter"] for k in range(0, len(e) - 7, 2)])
+        chunks = [np.maximum(z[k * 112 : k * 112 + 128].max(axis=0) + p["bias"], 0) for k in range(max(1, -(-(cells - 1) // 7)))]
+        x = np.concatenate([np.max(chunks, axis=0), np.mean(chunks, axis=0)]) @ p["out"] + p["shift"][0]
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-x)), abs=1e-3)
+
+
+def test_very_long_text_in_bounded_memory():
+    net = quality_cnn.ByteNet(seed=3)
+    raw = np.random.default_rng(0).integers(32, 127, 64 << 20, dtype=np.uint8).tobytes()
+    net.score([raw[:1000]])
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert 0 <= net.score([raw])[0] <= 1
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+
+
+def test_repeated_rows_do_not_push_out_a_class(spark, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "TRAIN_BYTES", 4000)
+    rows = [(1, "good words here")] * 3000 + [(k, ("bad %% " if k % 2 else "fine words ") * 8) for k in range(2, 40)] + [(99, "z" * 9000)]
+    labels = spark.createDataFrame([(1, 1, 0), (99, 1, 0), *((k, int(k % 2 == 0), 0) for k in range(2, 40))], "doc_id long, quality int, toxic int")
+    net = quality_cnn.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    good, bad = net.score([b"fine words " * 8, b"bad %% " * 8])
+    assert good > 0.5 > bad
+
+
 def test_score_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (None, "x"), (4, "abc " * 50_000), (1, None)], "doc_id long, text string").withColumn("score", F.lit("clash"))
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (77, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")

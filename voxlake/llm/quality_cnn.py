@@ -5,10 +5,10 @@ are max-pooled in overlapping chunks of 256 bytes (a new chunk every 224), and t
 vectors are combined, by maximum and by mean, into one probability. An embedded pair of bytes
 meets a quarter of a filter as one row of a table, so scoring needs no matrix product.
 
-Training: at most ``SAMPLE`` labelled rows of either class (by a hash of their id; held-out
-rows are never used), from each of which at most ``TRAIN_CHUNKS`` chunks spread over the text
-reach the driver (under 12 MB); Adam on the logistic loss. The classes count alike;
-the shift is then set for their shares among all labels that are not held out.
+Training: at most ``SAMPLE`` labelled rows of either class and ``TRAIN_BYTES`` of text in all (in the
+order of a hash of their id; a text that does not fit is passed over, held-out rows are never used, and
+of an id's rows the least text counts). Each is learned from all its chunks, by Adam on the logistic
+loss. The classes count alike; the shift is then set for their shares among all labels that are not held out.
 """
 
 from __future__ import annotations
@@ -21,26 +21,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import map_arrow, runs, table
-from voxlake.session import ship
+from voxlake.session import cut, ship
 
 DIM, WIDTH, STRIDE, FILTERS = 8, 8, 2, 24
 #: Pooling cells of 32 bytes; a chunk is 8 cells and begins 7 after the one before.
 CELL, CHUNK_CELLS, CHUNK_STEP = 32, 8, 7
 CHUNK, STEP = CELL * CHUNK_CELLS, CELL * CHUNK_STEP
 SAMPLE = 1200
-TRAIN_CHUNKS = 16
+TRAIN_BYTES = 16 << 20
 EPOCHS, BATCH, RATE = 8, 48, 0.01
 #: Share of the training documents that are cut short each time.
 SHORTEN = 0.3
 RUN = 1 << 19
+#: Cells that are filtered at once (96 numbers a pair of bytes), and chunks in training.
+CELLS_AT_ONCE, CHUNKS_AT_ONCE = 1 << 13, 512
 THRESHOLD = 0.7
 
 
-def spread_chunks(raw: bytes, most: int) -> list[bytes]:
-    """At most ``most`` chunks, evenly spread over a text; each goes eight bytes on, for the last filters."""
+def chunks_of(raw: bytes) -> np.ndarray:
+    """All chunks of a text, as rows of bytes; each goes eight bytes on, for the last filters."""
     n = max(1, -(-(len(raw) - (CHUNK - STEP)) // STEP))
-    picks = range(n) if n <= most else sorted({round(k * (n - 1) / (most - 1)) for k in range(most)})
-    return [raw[k * STEP : k * STEP + CHUNK + WIDTH].ljust(CHUNK + WIDTH, b"\0") for k in picks]
+    flat = np.frombuffer(raw.ljust((n - 1) * STEP + CHUNK + WIDTH, b"\0"), np.uint8)
+    return np.lib.stride_tricks.sliding_window_view(flat, CHUNK + WIDTH)[::STEP][:n]
 
 
 class ByteNet:
@@ -62,15 +64,19 @@ class ByteNet:
     def _loss_gradients(self, chunks: np.ndarray, of: np.ndarray, label: np.ndarray) -> dict[str, np.ndarray]:
         """Gradients over documents whose chunks (of[i]: document of chunk i, ascending) are given as bytes."""
         p, n_docs = self.p, len(label)
-        embedded = p["embed"][chunks]
         positions = CHUNK // STRIDE
-        s = embedded.strides
-        windows = np.lib.stride_tricks.as_strided(embedded, (len(chunks), positions, WIDTH * DIM), (s[0], s[1] * STRIDE, s[2]))
-        x = np.ascontiguousarray(windows)
-        z = x.reshape(-1, WIDTH * DIM) @ p["filter"]
-        z = z.reshape(len(chunks), positions, FILTERS)
-        where = z.argmax(axis=1)
-        top = np.take_along_axis(z, where[:, None, :], axis=1)[:, 0] + p["bias"]
+        blocks = range(0, len(chunks), CHUNKS_AT_ONCE)
+
+        def windows(lo: int) -> np.ndarray:
+            embedded = p["embed"][chunks[lo : lo + CHUNKS_AT_ONCE]]
+            s = embedded.strides
+            return np.lib.stride_tricks.as_strided(embedded, (len(embedded), positions, WIDTH * DIM), (s[0], s[1] * STRIDE, s[2]))
+
+        where, top = np.empty((len(chunks), FILTERS), np.int64), np.empty((len(chunks), FILTERS), np.float32)
+        for lo in blocks:
+            z = (np.ascontiguousarray(windows(lo)).reshape(-1, WIDTH * DIM) @ p["filter"]).reshape(-1, positions, FILTERS)
+            where[lo : lo + len(z)] = z.argmax(axis=1)
+            top[lo : lo + len(z)] = z.max(axis=1) + p["bias"]
         pooled = np.maximum(top, 0)
         heads = np.searchsorted(of, np.arange(n_docs))
         count = np.diff(heads, append=len(of)).astype(np.float32)[:, None]
@@ -86,14 +92,15 @@ class ByteNet:
         d_pool = d_pool + np.where(first, d_feature[:, :FILTERS][of], 0)
         d_pool = np.where(top > 0, d_pool, 0).astype(np.float32)
         g["bias"] = d_pool.sum(axis=0)
-        row = np.arange(len(chunks))[:, None]
-        g["filter"] = np.einsum("cf,cfk->kf", d_pool, x[row, where])
-        # to the embeddings of the bytes below each maximum
-        byte = chunks[row[..., None], where[..., None] * STRIDE + np.arange(WIDTH)]
-        back = d_pool[..., None] * p["filter"].T[None]
-        back = back.reshape(len(chunks), FILTERS, WIDTH, DIM)
-        flat = byte.ravel()
-        g["embed"] = np.stack([np.bincount(flat, weights=back[..., k].ravel(), minlength=256) for k in range(DIM)], axis=1).astype(np.float32)
+        g["filter"], g["embed"] = np.zeros_like(p["filter"]), np.zeros_like(p["embed"])
+        for lo in blocks:
+            d_part, at = d_pool[lo : lo + CHUNKS_AT_ONCE], where[lo : lo + CHUNKS_AT_ONCE]
+            row = np.arange(len(at))[:, None]
+            g["filter"] += np.einsum("cf,cfk->kf", d_part, windows(lo)[row, at])
+            # to the embeddings of the bytes below each maximum
+            byte = chunks[lo : lo + CHUNKS_AT_ONCE][row[..., None], at[..., None] * STRIDE + np.arange(WIDTH)].ravel()
+            back = (d_part[..., None] * p["filter"].T[None]).reshape(-1, DIM)
+            g["embed"] += np.stack([np.bincount(byte, weights=back[:, k], minlength=256) for k in range(DIM)], axis=1).astype(np.float32)
         return g
 
     @staticmethod
@@ -103,10 +110,10 @@ class ByteNet:
         one[:, r.integers(12, CHUNK) :] = 0
         return one
 
-    def fit(self, documents: list[list[bytes]], labels: list[int], prior_log_odds: float = 0.0) -> ByteNet:
+    def fit(self, documents: list[bytes], labels: list[int], prior_log_odds: float = 0.0) -> ByteNet:
         """Adam; every epoch visits each class equally often, and the shift is then set for the classes' true shares."""
         r = np.random.default_rng(11)
-        raw = [np.frombuffer(b"".join(d), np.uint8).reshape(len(d), -1) for d in documents]
+        raw = [chunks_of(d) for d in documents]
         y = np.array(labels, np.float32)
         good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
         if not len(good) or not len(bad):  # nothing to tell apart: every text has the one label
@@ -155,21 +162,29 @@ class ByteNet:
         cells = np.array([-(-(len(x) + WIDTH) // CELL) for x in raws])
         buffer = b"".join([x.ljust(c * CELL, b"\0") for x, c in zip(raws, cells.tolist(), strict=True)])
         pairs = np.frombuffer(buffer, "<u2")
-        rows = np.take(self._table(), pairs, axis=0)
-        z = rows[:, :FILTERS].copy()
-        for k in range(1, WIDTH // 2):
-            z[:-k] += rows[k:, k * FILTERS : (k + 1) * FILTERS]
+        per_cell = CELL // STRIDE
         ends = np.cumsum(cells)
-        tail = (ends * (CELL // 2))[:, None] - np.arange(1, WIDTH // 2)
-        z[tail.ravel()] = -np.inf  # filters that would reach into the next document
-        z = z.reshape(-1, CELL // STRIDE, FILTERS).max(axis=1)
+        # filters that would reach into the next document
+        tail = np.sort(((ends * per_cell)[:, None] - np.arange(1, WIDTH // 2)).ravel())
+        z = np.empty((int(ends[-1]) + 1, FILTERS), np.float32)
+        z[-1] = 0
+        for lo in range(0, int(ends[-1]), CELLS_AT_ONCE):
+            hi = min(lo + CELLS_AT_ONCE, int(ends[-1]))
+            first, n = lo * per_cell, (hi - lo) * per_cell
+            rows = np.take(self._table(), pairs[first : first + n + WIDTH // 2 - 1], axis=0)
+            found = rows[:n, :FILTERS].copy()
+            for k in range(1, WIDTH // 2):
+                part = rows[k : n + k, k * FILTERS : (k + 1) * FILTERS]
+                found[: len(part)] += part
+            found[tail[slice(*np.searchsorted(tail, [first, first + n]))] - first] = -np.inf
+            z[lo:hi] = found.reshape(-1, per_cell, FILTERS).max(axis=1)
         # chunks of each document: every CHUNK_STEP cells, none that the one before covers whole
         count = np.maximum(1, -(-(cells - (CHUNK_CELLS - CHUNK_STEP)) // CHUNK_STEP))
         nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
         begin = np.repeat(ends - cells, count) + nth * CHUNK_STEP
         end = np.minimum(begin + CHUNK_CELLS, np.repeat(ends, count))
         cuts = np.stack([begin, end], axis=1).ravel()
-        pooled = np.maximum(np.maximum.reduceat(np.vstack([z, z[-1:]]), cuts)[::2] + self.p["bias"], 0)
+        pooled = np.maximum(np.maximum.reduceat(z, cuts)[::2] + self.p["bias"], 0)
         heads = np.cumsum(count) - count
         return np.concatenate([np.maximum.reduceat(pooled, heads), np.add.reduceat(pooled, heads) / count[:, None]], axis=1)
 
@@ -190,19 +205,20 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     parts = [known.where(F.col("label") == c).distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE) for c in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(id_column).alias("of"), F.col(text_column).alias("text"))
-    joined = texts.join(F.broadcast(sample), F.col("of") == F.col("id")).select("id", "label", "text")
-
-    def each(batch: pa.RecordBatch):
-        for part in runs(batch, 2):
-            chunks = [b"".join(spread_chunks((t or "").encode(), TRAIN_CHUNKS)) for t in part.column(2).to_pylist()]
-            yield table({"id": (part.column(0), None), "label": (part.column(1), None), "chunks": (chunks, pa.binary())})
-
-    kind = joined.schema["id"].dataType.simpleString()
-    found = map_arrow(joined, each, f"id {kind}, label int, chunks binary").orderBy("id", "chunks").limit(2 * SAMPLE).collect()
-    size = CHUNK + WIDTH
+    joined = texts.join(F.broadcast(sample), F.col("of") == F.col("id"))
+    found = cut(joined.groupBy("id", "label").agg(F.coalesce(F.min("text"), F.lit("")).alias("text")))
+    left, picks = TRAIN_BYTES, []
+    for r in found.select("id", "label", F.octet_length("text").alias("size")).orderBy(F.xxhash64("id"), "id", "label").collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            picks.append((r["id"], r["label"]))
+    chosen = {p: k for k, p in enumerate(picks)}
+    limits = F.broadcast(docs.sparkSession.createDataFrame(picks, f"pid {sample.schema['id'].dataType.simpleString()}, plabel int"))
+    rows = found.join(limits, (F.col("id") == F.col("pid")) & (F.col("label") == F.col("plabel")), "left_semi").collect()
+    rows.sort(key=lambda r: chosen[r["id"], r["label"]])
     share = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = float(np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1)))
-    return ByteNet().fit([[bytes(r["chunks"][k : k + size]) for k in range(0, len(r["chunks"]), size)] for r in found], [r["label"] for r in found], prior)
+    return ByteNet().fit([r["text"].encode() for r in rows], [r["label"] for r in rows], prior)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
