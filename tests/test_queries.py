@@ -63,3 +63,22 @@ def test_range_filter_reaches_the_scan(spark, tmp_path):
     parts = reader.partitions()
     assert len(kept) == 3 and (parts[0].z0, parts[-1].z1) == (3, 5)
     assert sum(b.num_rows for q in parts for b in reader.read(q)) == 2 * 4
+
+
+def test_block_filter_reaches_the_scan(tmp_path):
+    from tests.volumes import volume
+    from voxlake.sources.volumetric import VolumeReader, VolumetricSource
+    from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan
+
+    p = tmp_path / "v.vol"
+    p.write_bytes(volume(4, 4, 9, 2, [float(i) for i in range(144)]))
+
+    def planned(filters, **options):
+        o = {"path": str(p), "content": "blocks", **options}
+        reader = VolumeReader(VolumetricSource(o).schema(), o)
+        list(reader.pushFilters(filters))
+        return sorted(z for q in reader.partitions() for b in reader.read(q) for z in b.column(3).to_pylist())
+
+    assert planned([GreaterThanOrEqual(("oz",), 3), LessThan(("oz",), 5)]) == [3, 4]
+    assert planned([GreaterThan(("oz",), 3)], slab="4") == [4, 8] and planned([LessThan(("oz",), 5)], slab="4") == [0, 4]
+    assert planned([EqualTo(("ox",), 1)]) == [] and len(planned([EqualTo(("ox",), 0)])) == 9

@@ -43,11 +43,11 @@ def test_float_blocks_are_converted(spark, tmp_path, mode, values):
 
 def test_packed_odd_rows_partial_blocks_and_errors(spark, tmp_path):
     a = (np.arange(30) % 16).reshape(2, 3, 5)
-    write_volume(planes(spark, a, "int"), str(tmp_path / "p"), VolumeBuilder((5, 3, 2), 101))
+    write_volume(planes(spark, a, "tinyint"), str(tmp_path / "p"), VolumeBuilder((5, 3, 2), 101))
     p = str(tmp_path / "p" / "v.vol")
     assert np.array_equal(read_array(p), a) and len(open(p, "rb").read()) == 1024 + 3 * 6 == expected_bytes(VolumeBuilder((5, 3, 2), 101))
     with pytest.raises(Exception, match="packed voxels"):
-        write_volume(planes(spark, a + 1, "int"), str(tmp_path / "q"), VolumeBuilder((5, 3, 2), 101))
+        write_volume(planes(spark, a + 1, "tinyint"), str(tmp_path / "q"), VolumeBuilder((5, 3, 2), 101))
     rows = spark.createDataFrame([("v", 1, 1, 0, 2, 1, 2, [1.0, 2.0, 3.0, 4.0])], "path string, ox int, oy int, oz int, sx int, sy int, sz int, data array<float>")
     write_volume(rows, str(tmp_path / "r"), VolumeBuilder((4, 3, 3)))
     got = read_array(str(tmp_path / "r" / "v.vol"))
@@ -68,7 +68,7 @@ def test_complex_and_stack(spark, tmp_path):
     h = open_volume(p).header
     assert (h.dmin, h.dmax, h.dmean) == (0, -1, -2) and h.rms > 0 and h.ispg == 401
     assert read_blocks(spark, p, stack="true").count() == 2
-    assert roll_up(tools.validate(spark, p, complex_files=True)).collect()[0].is_valid
+    assert roll_up(tools.validate(spark, p)).collect()[0].is_valid
     with pytest.raises(Exception, match="complex voxels"):
         write_volume(df, str(tmp_path / "x"), VolumeBuilder((2, 1, 4), 2))
 
@@ -101,3 +101,101 @@ def test_statistics_mismatch_and_nonfinite_are_reported(spark, tmp_path):
     (tmp_path / "m.vol").write_bytes(volume(2, 2, 1, 2, [1.0, 2.0, 3.0, 4.0], map=b"XYZ_"))
     rows = tools.validate(spark, str(tmp_path)).collect()
     assert any(r.severity == "Error" and r.category == "Header" for r in rows) and any(r.category == "Open" for r in rows)
+
+
+def test_sections_are_written_by_many_tasks(spark, tmp_path):
+    a = np.random.default_rng(2).normal(size=(23, 4, 6)).astype(np.float32)
+    a[5:9], a[22] = 0, 0  # sections without a block
+    rows = planes(spark, a).where("oz not between 5 and 8 and oz < 22").repartition(5)
+    for compression, ending in (("none", ""), ("gzip", ".gz"), ("bzip2", ".bz2")):
+        folder = tmp_path / compression
+        write_volume(rows, str(folder), VolumeBuilder((6, 4, 23)), compression, sections_per_part=4)
+        assert [x.name for x in folder.iterdir()] == [f"v.vol{ending}"]
+        v = open_volume(str(folder / f"v.vol{ending}"))
+        assert np.array_equal(v.raw_box((0, 0, 0), (6, 4, 23)), a)
+        assert v.header.dmean == pytest.approx(a.mean(), abs=1e-6) and v.header.rms == pytest.approx(a.std(), rel=1e-6) and v.header.dmin == a.min()
+    # blocks of several sections, and boxes beside each other, that go over the parts' edges
+    boxes = [("w", 3 * i, 0, 0, 3, 4, 23, a[:, :, 3 * i : 3 * i + 3].ravel().tolist()) for i in (0, 1)]
+    df = spark.createDataFrame(boxes, rows.schema)
+    write_volume(df, str(tmp_path / "boxes"), VolumeBuilder((6, 4, 23)), sections_per_part=5)
+    assert np.array_equal(read_array(str(tmp_path / "boxes" / "w.vol")), a)
+    assert bytes(encode_volumes(df, VolumeBuilder((6, 4, 23))).collect()[0].content) == (tmp_path / "boxes" / "w.vol").read_bytes()
+
+
+def test_parts_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from voxlake.sources.sink import VolumeWriter, by_section
+
+    seen = []
+    old = VolumeWriter._join
+    monkeypatch.setattr(VolumeWriter, "_join", lambda self, fs, name, parts: (seen.extend(parts), old(self, fs, name, parts)))
+    a = np.arange(40 * 6, dtype=np.float32).reshape(40, 2, 3)
+    rows = by_section(planes(spark, a)).repartition(4, F.floor(F.col("oz") / 5)).sortWithinPartitions("oz")
+    pids = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    rows.write.format("volumetric").options(**VolumeBuilder((3, 2, 40)).options(), sectionsPerPart="5").mode("append").save(str(tmp_path))
+    assert pids > 2 and np.array_equal(read_array(str(tmp_path / "v.vol")), a)
+
+
+@pytest.mark.parametrize(
+    ("kind", "mode", "value", "error"),
+    [
+        ("smallint", 2, 1, "ModeMismatch"), ("int", 1, 70000, "ModeMismatch"), ("int", 6, 70000, "ValueOutOfRange"), ("smallint", 6, 256, "ValueOutOfRange"), ("float", 101, 1.0, "UnsupportedMode"),
+        ("float", 4, 1.0, "ModeMismatch"), ("smallint", 0, 1, "ModeMismatch"), ("tinyint", 101, 16, "ValueOutOfRange"),
+    ],
+)
+def test_voxels_of_another_type_are_refused(spark, tmp_path, kind, mode, value, error):
+    rows = spark.createDataFrame([("v", 0, 0, 0, 1, 1, 1, [value])], f"path string, ox int, oy int, oz int, sx int, sy int, sz int, data array<{kind}>")
+    with pytest.raises(Exception, match=error):
+        write_volume(rows, str(tmp_path), VolumeBuilder((1, 1, 1), mode))
+    assert not list(tmp_path.glob("*.vol"))
+
+
+def test_conversion_by_option_and_u8(spark, tmp_path):
+    rows = spark.createDataFrame([("v", 0, 0, 0, 2, 1, 1, [70000, -3])], "path string, ox int, oy int, oz int, sx int, sy int, sz int, data array<int>")
+    write_volume(rows, str(tmp_path / "c"), VolumeBuilder((2, 1, 1), 1), convert=True)
+    assert read_array(str(tmp_path / "c" / "v.vol")).ravel().tolist() == [32767, -3]
+    rows = rows.withColumn("data", F.array(F.lit(255), F.lit(0)).cast("array<smallint>"))
+    write_volume(rows, str(tmp_path / "u"), VolumeBuilder((2, 1, 1), 6))
+    assert read_array(str(tmp_path / "u" / "v.vol"), "ubyte").ravel().tolist() == [255, 0]
+
+
+def test_header_settings_and_tools(spark, tmp_path):
+    a = np.arange(12, dtype=np.float32).reshape(3, 2, 2)
+    b = VolumeBuilder((2, 2, 3), labels=("one", "two"), extended_header=b"abc").big_endian().header_fields(creatid=7, origin=(1.0, 2.0, 3.0)) if "creatid" in VolumeBuilder((1, 1, 1)).build().values else VolumeBuilder((2, 2, 3), labels=("one", "two"), extended_header=b"abc").big_endian().header_fields(origin=(1.0, 2.0, 3.0))
+    write_volume(planes(spark, a), str(tmp_path / "b"), b)
+    v = open_volume(str(tmp_path / "b" / "v.vol"))
+    assert v.header.endian == "big" and v.header.standard_stamp and v.header.nversion == 20141 and v.extended_header() == b"abc"
+    assert v.header.origin == (1.0, 2.0, 3.0) and np.array_equal(read_array(v.path), a)
+    with pytest.raises(E.InvalidHeader):
+        VolumeBuilder((2, 2, 2)).header_fields(nx=4)
+    tools.convert(spark, str(tmp_path / "b"), str(tmp_path / "i"), 1, "gzip")
+    w = open_volume(str(tmp_path / "i" / "v.vol.gz"))
+    assert w.header.mode == 1 and w.header.origin == (1.0, 2.0, 3.0) and np.array_equal(w.raw_box((0, 0, 0), (2, 2, 3)), a)
+    named = {r.field: r.value for r in tools.header(spark, str(tmp_path / "b")).collect()}
+    assert named["nx"] == "2" and named["mode"] == "2"
+    tools.check_stats(spark, str(tmp_path / "b"))
+    from tests.volumes import volume
+
+    (tmp_path / "bad.vol").write_bytes(volume(2, 1, 1, 2, [1.0, 2.0], dmin=5.0, dmax=9.0, dmean=6.0, rms=0.5))
+    with pytest.raises(E.StatsMismatch, match="dmin, dmax"):
+        tools.check_stats(spark, str(tmp_path / "bad.vol"))
+
+
+def test_folder_of_several_modes(spark, tmp_path):
+    from tests.volumes import volume
+
+    (tmp_path / "a.vol").write_bytes(volume(2, 1, 1, 1, [1, -2]))
+    (tmp_path / "b.vol").write_bytes(volume(2, 1, 1, 2, [1.75, 100000.0]))
+    (tmp_path / "c.vol").write_bytes(volume(2, 1, 1, 3, [(3, 4), (0, 1)]))
+    with pytest.raises(Exception, match="TypeMismatch|name a valueType"):
+        read_blocks(spark, str(tmp_path)).collect()
+    got = {r.path[-5]: list(r.data) for r in read_blocks(spark, str(tmp_path), valueType="float").collect()}
+    assert got == {"a": [1.0, -2.0], "b": [1.75, 100000.0], "c": [5.0, 1.0]}
+    assert read_blocks(spark, str(tmp_path), modes="3").collect()[0].data[0].re == 3
+    assert read_blocks(spark, str(tmp_path), modes="12").count() == 0
+    with pytest.raises(Exception, match="ValueOutOfRange|ModeMismatch"):
+        read_blocks(spark, str(tmp_path / "a.vol"), valueType="ubyte").collect()
+    (tmp_path / "d.vol").write_bytes(volume(2, 1, 1, 6, [256, 1]))
+    with pytest.raises(Exception, match="more than 255"):
+        read_blocks(spark, str(tmp_path / "d.vol"), valueType="ubyte").collect()
+    report = roll_up(tools.validate(spark, str(tmp_path))).collect()
+    assert len(report) == 4 and all(r.n_error == 0 for r in report)

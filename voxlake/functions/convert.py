@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from voxlake.errors import TypeMismatch
+
 RANGES = {"byte": (-128, 127), "short": (-32768, 32767), "ushort": (0, 65535), "ubyte": (0, 255)}
 SPARK_TYPES = {"byte": "tinyint", "short": "smallint", "ushort": "int", "ubyte": "smallint", "float": "float", "half": "float"}
 
@@ -123,6 +125,19 @@ def stored_int(raw: Column, index: Column, width: int, endian: str, signed: bool
     return F.when(value >= top, value - 2 * top).otherwise(value) if signed else value
 
 
+def stored_ints(raw: Column, width: int, endian: str, signed: bool) -> Column:
+    """All integers of a binary column, decoded a batch at a time; bytes beyond the last whole one are left out."""
+    kind = np.dtype(f"{'>' if endian == 'big' else '<'}{'i' if signed else 'u'}{width}")
+    out = T.IntegerType() if width < 4 or (width == 4 and signed) else T.LongType()
+    native = np.int32 if isinstance(out, T.IntegerType) else np.int64
+
+    @pandas_udf(T.ArrayType(out))
+    def decode(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if r is None else np.frombuffer(r, kind, len(r) // width).astype(native) for r in rows])
+
+    return decode(raw)
+
+
 @pandas_udf(T.BinaryType())
 def swap_bytes(raw: pd.Series, width: pd.Series) -> pd.Series:
     """Reverse the bytes of every element; a length that is no multiple of the width is an error."""
@@ -131,7 +146,7 @@ def swap_bytes(raw: pd.Series, width: pd.Series) -> pd.Series:
         if r is None:
             return None
         if len(r) % w:
-            raise ValueError("TypeMismatch: length is no multiple of the element's size")
+            raise TypeMismatch("length is no multiple of the element's size")
         return np.frombuffer(r, dtype=np.uint8).reshape(-1, w)[:, ::-1].tobytes()
 
     return pd.Series([one(r, int(w)) for r, w in zip(raw, width, strict=True)])

@@ -152,6 +152,13 @@ def new_header(nx: int = 0, ny: int = 0, nz: int = 0, mode: int = 2, **fields) -
     return Header(values | fields)
 
 
+def set_endian(h: Header, endian: str) -> Header:
+    """The header for a file of that byte order: its stamp and its version number are written anew."""
+    extra = bytearray(h.values["extra"])
+    extra[12:16] = h.nversion.to_bytes(4, endian, signed=True)
+    return Header(h.values | {"machst": endian_stamp(endian), "extra": bytes(extra)}, endian)
+
+
 def with_extra(h: Header, at: int, raw: bytes) -> Header:
     extra = bytearray(h.values["extra"])
     extra[at : at + len(raw)] = raw

@@ -15,31 +15,81 @@ from voxlake.session import ship
 SIZES = {"CCP4": 80, "MRCO": 80, "SERI": 256, "AGAR": 1024, "FEI1": 768, "FEI2": 888}
 
 #: Fixed layout of the FEI records (name, type, offset): u/i 32-bit, q 64-bit, d double, b one byte, s 16 characters; big-endian but for bitmask_1.
-FEI1_FIELDS = """
-metadata_size u 0|metadata_version u 4|bitmask_1 l 8|timestamp d 12|microscope_type s 20|ht d 84|dose d 92|alpha_tilt d 100
-beta_tilt d 108|x_stage d 116|y_stage d 124|z_stage d 132|tilt_axis_angle d 140|pixel_size_x d 156|pixel_size_y d 164
-defocus d 220|stem_defocus d 228|applied_defocus d 236|magnification d 289|camera_length d 301|spot_index i 309
-illuminated_area d 313|intensity d 321|convergence_angle d 329|slit_width d 355|shift_offset_x d 387|shift_offset_y d 395
-shift_x d 403|shift_y d 411|integration_time d 419|binning_width i 427|binning_height i 431|camera_name s 435
-readout_area_left i 451|readout_area_top i 455|readout_area_right i 459|readout_area_bottom i 463|ceta_frames_summed i 468
-phase_plate b 518|gain d 535|offset d 543|dwell_time d 571|frame_time d 579|full_scan_fov_x d 603|full_scan_fov_y d 611
-is_dose_fraction b 655|fraction_number i 656|start_frame i 660|end_frame i 664|alpha_tilt_min d 752|alpha_tilt_max d 760
-"""
-FEI2_FIELDS = """
-scan_rotation d 768|diffraction_pattern_rotation d 776|image_rotation d 784|scan_mode_enumeration i 792
-acquisition_time_stamp q 796|detector_commercial_name s 804|start_tilt_angle d 820|end_tilt_angle d 828|tilt_per_image d 836
-tilt_speed d 844|beam_center_x_pixel i 852|beam_center_y_pixel i 856|cfeg_flash_timestamp q 860
-phase_plate_position_index i 868|objective_aperture_name s 872
-"""
+FEI1_FIELDS = [
+    ("metadata_size", "u", 0),
+    ("metadata_version", "u", 4),
+    ("bitmask_1", "l", 8),
+    ("timestamp", "d", 12),
+    ("microscope_type", "s", 20),
+    ("ht", "d", 84),
+    ("dose", "d", 92),
+    ("alpha_tilt", "d", 100),
+    ("beta_tilt", "d", 108),
+    ("x_stage", "d", 116),
+    ("y_stage", "d", 124),
+    ("z_stage", "d", 132),
+    ("tilt_axis_angle", "d", 140),
+    ("pixel_size_x", "d", 156),
+    ("pixel_size_y", "d", 164),
+    ("defocus", "d", 220),
+    ("stem_defocus", "d", 228),
+    ("applied_defocus", "d", 236),
+    ("magnification", "d", 289),
+    ("camera_length", "d", 301),
+    ("spot_index", "i", 309),
+    ("illuminated_area", "d", 313),
+    ("intensity", "d", 321),
+    ("convergence_angle", "d", 329),
+    ("slit_width", "d", 355),
+    ("shift_offset_x", "d", 387),
+    ("shift_offset_y", "d", 395),
+    ("shift_x", "d", 403),
+    ("shift_y", "d", 411),
+    ("integration_time", "d", 419),
+    ("binning_width", "i", 427),
+    ("binning_height", "i", 431),
+    ("camera_name", "s", 435),
+    ("readout_area_left", "i", 451),
+    ("readout_area_top", "i", 455),
+    ("readout_area_right", "i", 459),
+    ("readout_area_bottom", "i", 463),
+    ("ceta_frames_summed", "i", 468),
+    ("phase_plate", "b", 518),
+    ("gain", "d", 535),
+    ("offset", "d", 543),
+    ("dwell_time", "d", 571),
+    ("frame_time", "d", 579),
+    ("full_scan_fov_x", "d", 603),
+    ("full_scan_fov_y", "d", 611),
+    ("is_dose_fraction", "b", 655),
+    ("fraction_number", "i", 656),
+    ("start_frame", "i", 660),
+    ("end_frame", "i", 664),
+    ("alpha_tilt_min", "d", 752),
+    ("alpha_tilt_max", "d", 760),
+]
+FEI2_FIELDS = [
+    ("scan_rotation", "d", 768),
+    ("diffraction_pattern_rotation", "d", 776),
+    ("image_rotation", "d", 784),
+    ("scan_mode_enumeration", "i", 792),
+    ("acquisition_time_stamp", "q", 796),
+    ("detector_commercial_name", "s", 804),
+    ("start_tilt_angle", "d", 820),
+    ("end_tilt_angle", "d", 828),
+    ("tilt_per_image", "d", 836),
+    ("tilt_speed", "d", 844),
+    ("beam_center_x_pixel", "i", 852),
+    ("beam_center_y_pixel", "i", 856),
+    ("cfeg_flash_timestamp", "q", 860),
+    ("phase_plate_position_index", "i", 868),
+    ("objective_aperture_name", "s", 872),
+]
 _NUMPY = {"u": ">u4", "l": "<u4", "i": ">i4", "q": ">i8", "d": ">f8", "b": "u1", "s": "V16"}
 _SPARK = {"u": T.LongType(), "l": T.LongType(), "i": T.IntegerType(), "q": T.LongType(), "d": T.DoubleType(), "b": T.BooleanType(), "s": T.StringType()}
 
 
-def _fields(text: str) -> list[tuple[str, str, int]]:
-    return [(n, k, int(at)) for n, k, at in (x.split() for x in text.replace("\n", "|").split("|") if x.strip())]
-
-
-FEI = {"FEI1": _fields(FEI1_FIELDS), "FEI2": _fields(FEI1_FIELDS) + _fields(FEI2_FIELDS)}
+FEI = {"FEI1": FEI1_FIELDS, "FEI2": FEI1_FIELDS + FEI2_FIELDS}
 
 
 def fei_dtype(kind: str) -> np.dtype:

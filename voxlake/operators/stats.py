@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.session import ship
+
 #: What a header says when a statistic is not set.
 SENTINELS = (0.0, -1.0, -2.0, -1.0)
 TOLERANCE = 0.01
@@ -54,7 +60,21 @@ def claims_hold(claimed: DataFrame, actual: DataFrame, keys: list[str]) -> DataF
     return joined.select(*keys, *ok, ((F.col("c.rms") < 0) | is_close(F.col("c.rms"), F.col("a.rms"))).alias("rms_ok"))
 
 
-def merge_moments(parts: list[tuple[int, float, float, float, float]]) -> tuple[int, float, float, float, float]:
+Moments = tuple[int, float, float, float, float]
+
+
+def moments(values: np.ndarray) -> Moments:
+    """Number, least, largest, mean and squared deviations; NaN is left out of the extremes only."""
+    c = values.astype(np.float64).ravel()
+    if not len(c):
+        return 0, float("inf"), float("-inf"), 0.0, 0.0
+    known = c[~np.isnan(c)]
+    low, high = (float(known.min()), float(known.max())) if len(known) else (float("inf"), float("-inf"))
+    mean = float(c.mean())
+    return len(c), low, high, mean, float(((c - mean) ** 2).sum())
+
+
+def merge_moments(parts: list[Moments]) -> Moments:
     """Merge (n, min, max, mean, M2) of parts (Chan's formula); for the writer's commit."""
     n, low, high, mean, m2 = 0, float("inf"), float("-inf"), 0.0, 0.0
     for k, a, b, mu, s in parts:
@@ -71,3 +91,39 @@ def merge_moments(parts: list[tuple[int, float, float, float, float]]) -> tuple[
 def block_mean(data: Column) -> Column:
     """Mean of a block's array, without exploding it."""
     return F.aggregate(data, F.lit(0.0), lambda s, v: s + v.cast("double")) / F.size(data)
+
+
+def block_moments(blocks: DataFrame) -> DataFrame:
+    """(path, first, n, low, high, mean, m2): the moments of each file's voxels that a task reads, from block rows of numbers."""
+    ship(blocks.sparkSession)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list] = {}
+        for batch in batches:
+            data = batch.column(2)
+            for i, (path, oz) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                mine = moments(np.asarray(data[i].values))
+                found[path] = [min(found[path][0], oz), merge_moments([found[path][1], mine])] if path in found else [oz, mine]
+        rows = [(p, z, *m) for p, (z, m) in found.items()]
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["path", "first", "n", "low", "high", "mean", "m2"])
+
+    return blocks.select("path", "oz", "data").mapInArrow(each, "path string, first int, n long, low double, high double, mean double, m2 double")
+
+
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """(path, n, dmin, dmax, dmean, rms) from the moments of parts, one row of each task and file (Chan's formula)."""
+
+    def merge(s: Column, x: Column) -> Column:
+        n = s["n"] + x["n"]
+        delta, whole = x["mean"] - s["mean"], F.greatest(n, F.lit(1))
+        mean = s["mean"] + delta * x["n"] / whole
+        m2 = s["m2"] + x["m2"] + delta * delta * s["n"] * x["n"] / whole
+        return F.struct(n.alias("n"), F.least(s["low"], x["low"]).alias("low"), F.greatest(s["high"], x["high"]).alias("high"), mean.alias("mean"), m2.alias("m2"))
+
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("low"), F.lit(float("-inf")).alias("high"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+    listed = parts.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("first", "n", "low", "high", "mean", "m2"))).alias("parts"))
+    m = listed.select("path", F.aggregate("parts", zero, merge).alias("m"))
+    some = F.col("m.low") <= F.col("m.high")
+    full = F.col("m.n") > 0
+    return m.select("path", F.col("m.n").alias("n"), F.when(some, F.col("m.low")).alias("dmin"), F.when(some, F.col("m.high")).alias("dmax"), F.when(full, F.col("m.mean")).alias("dmean"), F.when(full, F.sqrt(F.col("m.m2") / F.col("m.n"))).alias("rms"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxlake.operators import exthdr as X
@@ -37,14 +37,18 @@ def _embeddings_file(spark: SparkSession, sf_dir: str, compression: str = "none"
     return folder
 
 
-def _events_file(spark: SparkSession, sf_dir: str, column: str, mode: int) -> str:
-    folder = fresh_path(spark, "volumes")
+def _write_events(spark: SparkSession, sf_dir: str, voxels: DataFrame, mode: int, folder: str | None = None) -> str:
+    folder = folder or fresh_path(spark, "volumes")
     nz = spark.read.parquet(f"{sf_dir}/events.parquet").count() // 100
-    v = P.events_integers(spark, sf_dir).select(F.lit("evt").alias("path"), "z", "y", "x", F.col(column).cast("int").alias("value"))
-    write_volume(R.section_blocks(v, 10, 10), folder, VolumeBuilder((10, 10, nz), mode))
+    write_volume(R.section_blocks(voxels, 10, 10), folder, VolumeBuilder((10, 10, nz), mode))
     return folder
 
 
+def _events_file(spark: SparkSession, sf_dir: str, column: str, mode: int) -> str:
+    v = P.events_integers(spark, sf_dir).select(F.lit("evt").alias("path"), "z", "y", "x", F.col(column).alias("value"))
+    return _write_events(spark, sf_dir, v, mode)
+
+
 @query(f"{EM} SELECT z, {STATS} FROM em GROUP BY z")
 def file_slice_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_voxels(spark, _embeddings_file(spark, sf_dir)).groupBy("z").agg(*_stats())
@@ -98,6 +102,142 @@ def file_header_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("nx", "ny", "nz", volume_kind(F.col("nz"), F.col("ispg")).alias("kind"), "dmin", "dmax", *mean)
 
 
+@query(f"{EM} SELECT z, y, round(sum(value::DOUBLE), 6) AS total FROM em WHERE z >= 3 AND z < 6 GROUP BY ALL")
+def file_block_pushdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comparisons of oz leave out whole block rows at planning."""
+    rows = read_blocks(spark, _embeddings_file(spark, sf_dir)).where("oz >= 3 AND oz < 6")
+    line = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda y: F.slice("data", y * 64 + 1, 64))).alias("y", "line")
+    total = F.aggregate("line", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return rows.select(F.col("oz").alias("z"), line).select("z", "y", F.round(total, 6).alias("total"))
+
+
+@query(f"{EI} SELECT z, sum(u16 % 256)::BIGINT AS total, count(*)::BIGINT AS n FROM ei GROUP BY z")
+def file_slices_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unsigned bytes are written as 16-bit voxels and read back as bytes, section by section."""
+    v = P.events_integers(spark, sf_dir).select(F.lit("b").alias("path"), "z", "y", "x", (F.col("u16") % 256).cast("smallint").alias("value"))
+    rows = read_blocks(spark, _write_events(spark, sf_dir, v, 6), valueType="ubyte")
+    total = F.aggregate("data", F.lit(0).cast("long"), lambda s, v: s + v)
+    return rows.groupBy(F.col("oz").alias("z")).agg(F.sum(total).alias("total"), F.sum(F.size("data")).cast("long").alias("n"))
+
+
+@query(f"{EI} SELECT z, sum(u4)::BIGINT AS total FROM ei GROUP BY z")
+def file_packed_as_u8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slabs of packed voxels as bytes."""
+    rows = read_voxels(spark, _events_file(spark, sf_dir, "u4", 101), valueType="ubyte")
+    return rows.groupBy("z").agg(F.sum("value").cast("long").alias("total"))
+
+
+def _mixed_folder(spark: SparkSession, sf_dir: str) -> str:
+    """One folder of 16-bit, float and complex volumes over the events."""
+    folder = _events_file(spark, sf_dir, "i16", 1)
+    real = P.events_volume(spark, sf_dir).select(F.lit("real").alias("path"), "z", "y", "x", F.col("value").cast("float").alias("value"))
+    _write_events(spark, sf_dir, real, 2, folder)
+    pair = F.struct((F.col("value") - 100).cast("float").alias("re"), ((F.col("idx") % 97) - 48).cast("float").alias("im"))
+    return _write_events(spark, sf_dir, P.events_volume(spark, sf_dir).select(F.lit("pairs").alias("path"), "z", "y", "x", pair.alias("value")), 4, folder)
+
+
+def _stem() -> Column:
+    return F.regexp_extract("path", r"([a-z]+)\.vol$", 1)
+
+
+@query(
+    f"""{EI}, mixed AS (SELECT 'evt' AS stem, i16::FLOAT AS value FROM ei UNION ALL SELECT 'real', value::FLOAT FROM events
+    UNION ALL SELECT 'pairs', sqrt((value - 100)::FLOAT::DOUBLE ** 2 + (event_id % 97 - 48)::DOUBLE ** 2)::FLOAT FROM events)
+    SELECT stem, count(*)::BIGINT AS n, round(min(value)::DOUBLE, 4) AS low, round(max(value)::DOUBLE, 3) AS high, round(avg(value::DOUBLE), 6) AS mean FROM mixed GROUP BY stem"""
+)
+def file_mixed_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of several voxel modes as one type; complex voxels are their magnitudes."""
+    rows = read_voxels(spark, _mixed_folder(spark, sf_dir), valueType="float")
+    v = F.col("value").cast("double")
+    return rows.groupBy(_stem().alias("stem")).agg(F.count("value").alias("n"), F.round(F.min(v), 4).alias("low"), F.round(F.max(v), 3).alias("high"), F.round(F.avg(v), 6).alias("mean"))
+
+
+@query("SELECT stem, true AS is_valid, 0::BIGINT AS n_error, 0::BIGINT AS n_warning FROM (VALUES ('evt'), ('real'), ('pairs')) t(stem)")
+def file_mixed_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each file is checked by its own mode."""
+    return V.roll_up(tools.validate(spark, _mixed_folder(spark, sf_dir))).withColumn("stem", _stem()).drop("path")
+
+
+@query("WITH v AS (SELECT (event_id % 2048)::DOUBLE / 4 AS value FROM events) SELECT count(*)::BIGINT AS n, min(value) AS dmin, max(value) AS dmax, round(avg(value), 6) AS dmean, round(stddev_pop(value), 6) AS rms FROM v")
+def file_half_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of half floats, merged from the moments of blocks."""
+    v = P.events_volume(spark, sf_dir).select(F.lit("h").alias("path"), "z", "y", "x", ((F.col("idx") % 2048) / 4).cast("float").alias("value"))
+    out = tools.stats(spark, _write_events(spark, sf_dir, v, 12))
+    return out.select("n", "dmin", "dmax", F.round("dmean", 6).alias("dmean"), F.round("rms", 6).alias("rms"))
+
+
+@query(f"{EI} SELECT z, min(i16)::SMALLINT AS low, max(i16)::SMALLINT AS high, 'big' AS endian, 4 * (z + 1)::INT AS section_end FROM ei GROUP BY z")
+def file_big_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A big-endian file with header fields of one's own, read by header, blocks and sections of four rows."""
+    folder = fresh_path(spark, "volumes")
+    nz = spark.read.parquet(f"{sf_dir}/events.parquet").count() // 100
+    v = P.events_integers(spark, sf_dir).select(F.lit("evt").alias("path"), "z", "y", "x", F.col("i16").alias("value"))
+    write_volume(R.section_blocks(v, 10, 10), folder, VolumeBuilder((10, 10, nz), 1).big_endian().header_fields(nystart=4), sections_per_part=7)
+    h = read_headers(spark, folder).select("path", "endian", F.col("header.nystart").alias("step"))
+    rows = read_voxels(spark, folder).groupBy("path", "z").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    return rows.join(h, "path").select("z", "low", "high", "endian", (F.col("step") * (F.col("z") + 1)).cast("int").alias("section_end"))
+
+
+@query("SELECT event_id::INT AS section, (event_id % 120 - 60)::FLOAT AS alpha_tilt, round(value::FLOAT::DOUBLE, 4) AS mean FROM events WHERE event_id < 100")
+def file_series_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extended header of one record a section, written, read back and joined with the sections' means."""
+    first = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 100")
+    raw = b"".join(struct.pack("<f", k % 120 - 60).ljust(256, b"\0") for k in range(100))
+    folder = fresh_path(spark, "volumes")
+    one = F.lit(1)
+    rows = first.select(F.lit("s").alias("path"), F.lit(0).alias("ox"), F.lit(0).alias("oy"), F.col("event_id").cast("int").alias("oz"), one.alias("sx"), one.alias("sy"), one.alias("sz"), F.array(F.col("value").cast("float")).alias("data"))
+    write_volume(rows, folder, VolumeBuilder((1, 1, 100), exttyp="SERI", extended_header=raw))
+    records = X.extended_records(read_headers(spark, folder).select("path", "header.exttyp", "ext_header"), "SERI")
+    sections = read_voxels(spark, folder).select("path", F.col("z").alias("section"), F.round(F.col("value").cast("double"), 4).alias("mean"))
+    return X.with_section_metadata(sections, records.select("path", "section", "alpha_tilt"), ["path", "section"]).select("section", "alpha_tilt", "mean")
+
+
+@query(f"{EI} SELECT z, sum(CASE WHEN idx < (SELECT count(*) // 200 * 100 FROM events) THEN i16 ELSE 0 END)::BIGINT AS total, true AS truncated FROM ei GROUP BY z")
+def file_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of a file's sections are cut off: permissive reading gives zeros for them and says so."""
+    import pyarrow.fs as pafs
+
+    from voxlake.sources.volume_file import open_fs
+
+    folder = _events_file(spark, sf_dir, "i16", 1)
+    fs, local = open_fs(folder)
+    (path,) = [f.path for f in fs.get_file_info(pafs.FileSelector(local)) if f.path.endswith(".vol")]
+    nz = spark.read.parquet(f"{sf_dir}/events.parquet").count() // 100
+    with fs.open_input_file(path) as source:
+        raw = source.read(1024 + 200 * (nz // 2))
+    with fs.open_output_stream(path) as sink:
+        sink.write(raw)
+    rows = read_blocks(spark, folder, mode="PERMISSIVE")
+    h = read_headers(spark, folder, mode="PERMISSIVE").select("path", "truncated")
+    return rows.join(h, "path").select(F.col("oz").alias("z"), F.aggregate("data", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"), "truncated")
+
+
+@query(
+    """SELECT '64 50 5' AS sampling, '1.5 2.5 3.5' AS cell_lengths, '90.0 90.0 120.0' AS cell_angles, '-3 4 5' AS nstart, true AS stack,
+    (SELECT count(*) // 50 FROM embeddings)::INT AS nz_again, 'made from embeddings' AS label"""
+)
+def file_header_tuples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header values as arrays, by way of JSON and back."""
+    from voxlake.functions import header as H
+
+    nz = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count() // 50
+    folder = fresh_path(spark, "volumes")
+    b = VolumeBuilder((64, 50, nz), cell_lengths=(1.5, 2.5, 3.5), cell_angles=(90.0, 90.0, 120.0), nstart=(-3, 4, 5)).volume_stack(5).label("made from embeddings")
+    write_volume(P.embeddings_rows(spark, sf_dir), folder, b)
+    h = read_headers(spark, folder).select(F.from_json(H.header_json(F.col("header")), H.HEADER_TYPE).alias("h"))
+    t = h.select("h", H.header_tuples(F.col("h")).alias("t"))
+    arrays = [F.concat_ws(" ", F.col(f"t.{c}").cast("array<string>")).alias(c) for c in ("sampling", "cell_lengths", "cell_angles", "nstart")]
+    return t.select(*arrays, H.is_volume_stack(F.col("h.ispg")).alias("stack"), F.col("h.nz").alias("nz_again"), F.element_at("h.labels", 1).alias("label"))
+
+
+@query(f"{EM} SELECT z, {STATS} FROM em GROUP BY z")
+def file_recompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes written anew in another mode and compression, and read from there."""
+    folder = fresh_path(spark, "volumes")
+    tools.convert(spark, _embeddings_file(spark, sf_dir), folder, 2, "bzip2")
+    return read_voxels(spark, folder).groupBy("z").agg(*_stats())
+
+
 @query("SELECT true AS is_valid, 0::BIGINT AS n_error, 0::BIGINT AS n_warning")
 def file_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.roll_up(tools.validate(spark, _embeddings_file(spark, sf_dir))).drop("path")

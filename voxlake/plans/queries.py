@@ -264,8 +264,8 @@ def nibbles_of_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _word_query(name: str, endian: str, signed: bool) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = P.text_bytes(spark, sf_dir).where(F.octet_length("raw") >= 2)
-        rows = raw.select("doc_id", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("raw") / 2).cast("int") - 1)).alias("i"), "raw")
-        return _byte_sums(rows, C.stored_int(F.col("raw"), F.col("i"), 2, endian, signed))
+        rows = raw.select("doc_id", F.posexplode(C.stored_ints(F.col("raw"), 2, endian, signed)).alias("i", "v"))
+        return _byte_sums(rows, F.col("v"))
 
     f.__name__ = name
     pair = "substr(h, 4 * i::INT + 1, 4)" if endian == "big" else "substr(h, 4 * i::INT + 3, 2) || substr(h, 4 * i::INT + 1, 2)"

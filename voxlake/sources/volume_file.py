@@ -17,7 +17,7 @@ from voxlake.functions.modes import MODES, Mode, data_bytes, dtype, mode_of
 
 #: A decompressed file may have so many bytes.
 MAX_DECOMPRESSED = 256 << 30
-TARGETS = ("native", "float", "half", "short", "ushort", "byte", "raw")
+TARGETS = ("native", "float", "half", "short", "ushort", "byte", "ubyte", "raw")
 _RANGES = {"short": (np.int16, -32768, 32767), "ushort": (np.int32, 0, 65535), "byte": (np.int8, -128, 127)}
 
 
@@ -176,6 +176,13 @@ def pack_rows(values: np.ndarray) -> bytes:
 
 def convert_box(box: np.ndarray, mode: Mode, target: str, strategy: str = "magnitude", unsigned: bool = False, rounding: str = "trunc") -> np.ndarray:
     """A box as another type: real (from complex by ``strategy``), clamped and rounded as the column functions do."""
+    if target == "ubyte":
+        # bytes are only taken from packed and unsigned voxels, and never clamped
+        if mode.code not in (6, 101):
+            raise E.ModeMismatch(f"mode {mode.code} is not read as unsigned bytes")
+        if box.size and box.max() > 255:
+            raise E.ValueOutOfRange(f"{box.max()} is more than 255")
+        return box.astype(np.int16)
     if mode.code == 0 and unsigned:
         box = (box.astype(np.int16)) & 255
     if target in ("native", "raw"):

@@ -5,12 +5,15 @@
 
 Reading: a task reads contiguous ranges of sections (``slab`` sections a row, 64 MiB of output
 a row at most); a compressed file is one task. ``region`` and comparisons of z, y, x (voxels) or
-oz (blocks) with numbers are pushed down to byte ranges. Other options: ``mode`` STRICT or
-PERMISSIVE, ``compression``, ``maxDecompressedBytes``, ``valueType``, ``complexStrategy``,
-``m0`` auto, signed or unsigned, ``rounding``.
+oz, oy, ox (blocks) with whole numbers are pushed down to byte ranges and files. Other options: ``mode``
+STRICT or PERMISSIVE, ``compression``, ``maxDecompressedBytes``, ``valueType``, ``complexStrategy``,
+``m0`` auto, signed or unsigned, ``rounding``, ``modes`` (voxel modes; files of others are left out).
 
-Writing: block rows of one volume in one partition a file; sections must come in any order but
-whole, and the header, with statistics merged from the tasks, is written at commit.
+Files whose native types differ need a ``valueType``; without one, planning raises TypeMismatch.
+``valueType`` ubyte takes packed and unsigned voxels of 0 to 255 as they are; more is an error.
+
+Writing: see ``sources.sink``. Each task writes ranges of sections, the commit joins them to files
+and writes the header with statistics merged from the tasks.
 """
 
 from __future__ import annotations
@@ -39,7 +42,7 @@ TASK_BYTES = 64 << 20
 #: Headers that planning reads at the same time.
 PLANNERS = 32
 
-VALUE_TYPES = {"float": T.FloatType(), "half": T.FloatType(), "short": T.ShortType(), "ushort": T.IntegerType(), "byte": T.ByteType()}
+VALUE_TYPES = {"float": T.FloatType(), "half": T.FloatType(), "short": T.ShortType(), "ushort": T.IntegerType(), "byte": T.ByteType(), "ubyte": T.ShortType()}
 HEADERS_SCHEMA = T.StructType(
     [
         T.StructField("path", T.StringType()),
@@ -94,6 +97,15 @@ class Sections(InputPartition):
     z1: int
 
 
+def wanted_modes(options: dict[str, str]) -> set[int] | None:
+    return {int(m) for m in options["modes"].split(",")} if options.get("modes") else None
+
+
+def is_unsigned(v: Volume, options: dict[str, str]) -> bool:
+    m0 = options.get("m0", "auto")
+    return v.header.mode == 0 and (v.header.imod_unsigned() if m0 == "auto" else m0 == "unsigned")
+
+
 class VolumeReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict[str, str]) -> None:
         self.schema, self.o = schema, options
@@ -105,6 +117,7 @@ class VolumeReader(DataSourceReader):
             self.region: tuple | None = (tuple(n[:3]), tuple(n[3:]))
         else:
             self.region = None
+        self.modes = wanted_modes(options)
 
     def _open(self, path: str) -> Volume:
         o = self.o
@@ -112,7 +125,7 @@ class VolumeReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
         """Bounds on whole numbers narrow the boxes that are read. All filters are also applied again by Spark, which keeps them exact."""
-        names = {"voxels": {"x": "x", "y": "y", "z": "z"}, "blocks": {}}.get(self.content, {})
+        names = {"voxels": {"x": "x", "y": "y", "z": "z"}, "blocks": {"ox": "x", "oy": "y", "oz": "z"}}.get(self.content, {})
         for f in filters:
             yield f
             if len(getattr(f, "attribute", ())) != 1 or f.attribute[0] not in names or not isinstance(getattr(f, "value", None), int):
@@ -151,11 +164,32 @@ class VolumeReader(DataSourceReader):
                 raise E.BoundsError(f"box {offset}+{size} is not inside {v.shape}")
             begin, end = list(offset), [o + s for o, s in zip(offset, size, strict=True)]
         for k, a in enumerate("xyz"):
-            begin[k] = max(begin[k], self.low[a])
-            if self.high[a] is not None:
-                end[k] = min(end[k], self.high[a])
+            low, high = self.low[a], end[k] if self.high[a] is None else min(end[k], self.high[a])
+            if self.content == "voxels":
+                begin[k], end[k] = max(begin[k], low), high
+            elif a == "z":
+                # blocks keep their grid: from the first that begins at low to the last that begins below high
+                step = self._step(v)
+                first = begin[k] + max(0, -(-(low - begin[k]) // step)) * step
+                end[k] = min(end[k], begin[k] + max(0, -(-(high - begin[k]) // step)) * step)
+                begin[k] = first
+            elif not low <= begin[k] < high:
+                end[k] = begin[k]
         return begin, end
 
+    def _wanted(self, v: Volume) -> bool:
+        return self.modes is None or v.header.mode in self.modes
+
+    def _check_types(self, volumes: list[Volume]) -> None:
+        """Without a value type, all files must have that of the schema."""
+        if (self.o.get("valueType") or self.o.get("valuetype") or "native") != "native":
+            return
+        field = self.schema["data"].dataType.elementType if self.content == "blocks" else self.schema["value"].dataType
+        for v in volumes:
+            kind = value_type(v.mode, "native", is_unsigned(v, self.o))
+            if kind != field:
+                raise E.TypeMismatch(f"{v.path} has voxels of {kind.simpleString()}, the schema {field.simpleString()}; name a valueType, or modes to read apart")
+
     def partitions(self) -> list[InputPartition]:
         files = list_files(self.o["path"])
         if self.content == "headers":
@@ -163,8 +197,9 @@ class VolumeReader(DataSourceReader):
         out: list[InputPartition] = []
         with ThreadPoolExecutor(PLANNERS) as pool:
             peeked = list(pool.map(self._peek, files))
+        self._check_types([v for v in peeked if v and self._wanted(v)])
         for p, v in zip(files, peeked, strict=True):
-            if v is None:
+            if v is None or not self._wanted(v):
                 continue
             begin, end = self._box(v)
             if any(b >= e for b, e in zip(begin, end, strict=True)):
@@ -194,8 +229,7 @@ class VolumeReader(DataSourceReader):
         v = self._open(partition.path)
         begin, end = self._box(v)
         target = self.o.get("valueType") or self.o.get("valuetype") or "native"
-        m0 = self.o.get("m0", "auto")
-        unsigned = v.header.mode == 0 and (v.header.imod_unsigned() if m0 == "auto" else m0 == "unsigned")
+        unsigned = is_unsigned(v, self.o)
         kind = arrow_type(self.schema["data" if self.content == "blocks" else "value"].dataType)
         step = self._step(v)
         for z in range(partition.z0, partition.z1, step):
@@ -255,13 +289,8 @@ class VolumetricSource(DataSource):
         target = self.options.get("valueType", "native")
         if target not in TARGETS:
             raise E.TypeMismatch(f"valueType {target}")
-        if target in ("native",):
-            files = list_files(self.options["path"])
-            if not files:
-                raise E.VolumeIOError("no files; name a valueType to read none")
-            probe = peek_volume(files[0], self.options.get("compression", "auto"))
-            m0 = self.options.get("m0", "auto")
-            kind = value_type(probe.mode, "native", probe.header.imod_unsigned() if m0 == "auto" else m0 == "unsigned")
+        if target == "native":
+            kind = self._native_type()
         else:
             kind = value_type(mode_of(2), target)
         if content == "voxels":
@@ -269,6 +298,22 @@ class VolumetricSource(DataSource):
         data = kind if target == "raw" else T.ArrayType(kind)
         return T.StructType([T.StructField("path", T.StringType()), *(T.StructField(n, T.IntegerType()) for n in ("ox", "oy", "oz", "sx", "sy", "sz")), T.StructField("data", data)])
 
+    def _native_type(self) -> T.DataType:
+        """The type of the first file that is asked for; planning compares the others with it."""
+        files, modes = list_files(self.options["path"]), wanted_modes(dict(self.options))
+        permissive = self.options.get("mode", "STRICT").upper() == "PERMISSIVE"
+        for path in files:
+            try:
+                probe = peek_volume(path, self.options.get("compression", "auto"))
+                if modes is None or probe.header.mode in modes:
+                    return value_type(probe.mode, "native", is_unsigned(probe, dict(self.options)))
+            except E.VolumeError:
+                if not permissive:
+                    raise
+        if modes:
+            return value_type(mode_of(min(modes)), "native")
+        raise E.VolumeIOError("no files; name a valueType to read none")
+
     def reader(self, schema: T.StructType) -> VolumeReader:
         return VolumeReader(schema, dict(self.options))
 
