@@ -9,9 +9,12 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: Paths in the shared folder that this driver has made.
+_FRESH: list[str] = []
 
 
 def builder(app: str = "voxlake", cores: int | None = None) -> SparkSession.Builder:
@@ -70,8 +73,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/voxlake-{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses; what is there is removed when the driver ends."""
+    path = f"{shared_dir(spark)}/voxlake-{name}-{uuid.uuid4().hex}"
+    if not _FRESH:
+        atexit.register(_remove_fresh)
+    _FRESH.append(path)
+    return path
+
+
+def _remove_fresh() -> None:
+    for path in _FRESH:
+        fs, local = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{os.path.abspath(path)}")
+        try:
+            fs.delete_dir(local)
+        except OSError:  # never written, or gone with its folder
+            continue
+    _FRESH.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
