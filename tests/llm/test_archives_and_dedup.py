@@ -171,26 +171,45 @@ def test_near_duplicate_edges(spark):
 def test_wand_and_matches_equal_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    index = decontam.item_groups(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text")[0]
+    index = next(decontam.item_groups(spark.read.parquet(f"{SF}/benchmark.parquet"), "item_id", "text"))
     rnd = random.Random(2)
     for _ in range(200):
         words = decontam.words_of(rnd.choice([*docs.values(), *(t for _, t in items)]))[:64]
         terms = sorted({index.terms[w] for w in words if w in index.terms})
         score = Counter()
         for t in terms:
-            for e, x in zip(index.postings[t], index.weights[t], strict=True):
+            for e, x in zip(*index.list_of(t), strict=True):
                 score[e] += x
         for threshold in (0.05, 0.2, 0.6):
             assert sorted(e for e, _ in index.wand(terms, threshold)) == sorted(e for e, s in score.items() if s >= threshold * (1 - 1e-9))
-    shingles = {k: decontam.shingles(decontam.words_of(t)) for k, t in items}
+    def five(t):
+        w = decontam.words_of(t)
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    shingles = {k: five(t) for k, t in items}
     want = {}
     for k, t in docs.items():
-        mine = decontam.shingles(decontam.words_of(t))
+        mine = five(t)
         want[k] = sorted(i for i, s in shingles.items() if len(s & mine) >= 0.8 * len(s))
     got = {r.doc_id: (r.item_ids, r.n_items, r.contaminated, r.kept) for r in queries.op7_decontamination(spark, SF).collect()}
     assert {k: v[0] for k, v in got.items()} == want and all((v[1], v[2], v[3]) == (len(v[0]), bool(v[0]), not v[0]) for v in got.values())
 
 
+def test_index_of_many_items_in_bounded_memory():
+    """8 MB of made-up items, a whole group."""
+    r = random.Random(1)
+    pool = ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 9))) for _ in range(60_000)]
+    items = [(k, " ".join(r.choices(pool, k=60)) + ". " + " ".join(r.choices(pool, k=6))) for k in range(16_000)]
+    frequency = Counter(w for _, t in items for w in set(decontam.words_of(t)))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    index = decontam.BlockMaxIndex(items, frequency, len(items), 66.0)
+    assert sum(len(t) for _, t in items) > 7_000_000 and index.nbytes() < 70_000_000
+    text = " ".join(r.choices(pool, k=300))
+    found = index.find([f"{text} {items[7][1]} {text}", text, None, items[15_999][1]])
+    assert found == [[7], [], [], [15_999]]
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
+
+
 def test_decontamination_edges(spark, monkeypatch):
     item = " ".join(f"q{i}" for i in range(60)) + ". What is it? The answer is forty two"
     long = "filler " * 30_000 + item.upper() + " tail"

@@ -13,16 +13,21 @@ shingles, and half of the words of its question (all but the last sentence) and
 (the last sentence).
 
 Items are read in groups of a bounded number of bytes; inverse document frequencies are those
-of all items. Each group's index is broadcast, and documents pass the groups one by one.
+of all items. One group's index, of flat arrays, is broadcast at a time: with several groups,
+documents and what they hold are written to the shared folder between one group and the next.
+
+Words are runs of letters and digits; scripts without spaces make a clause one word, so there an
+item is found only where whole clauses are the same.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
 from collections import Counter
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.llm.common import map_arrow, packed, runs, table
-from voxlake.session import ship
+from voxlake.session import cut, ship, stage
 
 K1, B = 1.2, 0.75
 SEGMENT = 48
@@ -45,6 +50,8 @@ SHINGLE = 5
 BLOCK, MOST_BLOCKS = 8, 64
 #: Item text in a broadcast index.
 GROUP_BYTES = 8 << 20
+#: Postings that a worker keeps as lists, and the shortest list that it keeps.
+LISTED, LISTED_FROM = 1 << 20, 64
 #: Document text that is looked up at once.
 RUN = 1 << 20
 
@@ -56,68 +63,86 @@ def words_of(text: str | None) -> list[str]:
     return _WORDS.findall(text.lower()) if text else []
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """Words of all but the last sentence or line, and of the last one; one sentence is both."""
+def answer_at(text: str, n_words: int) -> int:
+    """The word at which an item's last sentence or line, the answer, begins; 0 if it has one sentence only."""
     m = _LAST.match(text.rstrip().rstrip(".?!"))
-    q, a = (words_of(m[1]), words_of(m[2])) if m else ([], [])
-    return (q, a) if q and a else (words_of(text), words_of(text))
-
+    at = len(words_of(m[1])) if m else 0
+    return at if at < n_words else 0
 
-def shingles(words: list[str]) -> set[tuple[str, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
 
-
-@dataclass
-class Item:
-    item_id: int | None
-    size: int
-    shingles: set[tuple[str, ...]]
-    question: set[str]
-    answer: set[str]
+def grams(words: list[int], size: int) -> set[tuple[int, ...]]:
+    """The different runs of ``size`` words."""
+    return set(zip(*(words[k:] for k in range(size)), strict=False))
 
 
 class BlockMaxIndex:
-    """An inverted index of item segments with weights, term maxima and block maxima."""
+    """An inverted index of item segments with weights, term maxima and block maxima, in flat arrays."""
 
     def __init__(self, items: list[tuple[int | None, str]], document_frequency: dict[str, int], n_items: int, mean_words: float) -> None:
-        self.items: list[Item] = []
-        self.entry_item: list[int] = []
-        weights: list[dict[str, float]] = []
+        self.terms: dict[str, int] = {}
+        self.item_id: list[int | None] = []
+        words, ends, answers = array("i"), array("q"), array("q")
+        entry_item, term, entry, weight = array("i"), array("i"), array("i"), array("d")
+        idf = {t: math.log(1 + (n_items - f + 0.5) / (f + 0.5)) for t, f in document_frequency.items()}
         for item_id, text in items:
-            words = words_of(text)
-            if not words:
+            mine = words_of(text)
+            if not mine:
                 continue
-            q, a = question_and_answer(text)
-            self.items.append(Item(item_id, len(words), shingles(words), set(q), set(a)))
-            n = -(-len(words) // SEGMENT)
+            ids = [self.terms.setdefault(w, len(self.terms)) for w in mine]
+            words.extend(ids)
+            ends.append(len(words))
+            answers.append(answer_at(text, len(mine)))
+            self.item_id.append(item_id)
+            n = -(-len(mine) // SEGMENT)
             for k in range(n):
-                part = Counter(words[len(words) * k // n : len(words) * (k + 1) // n])
+                part = Counter(mine[len(mine) * k // n : len(mine) * (k + 1) // n])
                 norm = K1 * (1 - B + B * sum(part.values()) / min(SEGMENT, max(1.0, mean_words)))
-                w = {t: math.log(1 + (n_items - document_frequency[t] + 0.5) / (document_frequency[t] + 0.5)) * f * (K1 + 1) / (f + norm) for t, f in part.items()}
-                total = sum(w.values())
-                weights.append({t: x / total for t, x in w.items()})
-                self.entry_item.append(len(self.items) - 1)
-        self.terms = {t: i for i, t in enumerate(sorted({t for w in weights for t in w}))}
-        self.postings: list[list[int]] = [[] for _ in self.terms]
-        self.weights: list[list[float]] = [[] for _ in self.terms]
-        for e, w in enumerate(weights):
-            for t, x in w.items():
-                self.postings[self.terms[t]].append(e)
-                self.weights[self.terms[t]].append(x)
-        self.block = max(BLOCK, -(-len(weights) // MOST_BLOCKS))
-        n_blocks = max(1, -(-len(weights) // self.block))
+                w = [idf[t] * f * (K1 + 1) / (f + norm) for t, f in part.items()]
+                total = sum(w)
+                term.extend(self.terms[t] for t in part)
+                entry.extend([len(entry_item)] * len(w))
+                weight.extend(x / total for x in w)
+                entry_item.append(len(self.item_id) - 1)
+        self.words, self.ends, self.answers = (np.array(x) for x in (words, ends, answers))
+        self.entry_item = np.array(entry_item)
+        term_of, entry_of = np.array(term, dtype=np.int64), np.array(entry, dtype=np.int32)
+        order = np.lexsort((entry_of, term_of))
+        term_of, self.entries, self.weights = term_of[order], entry_of[order], np.array(weight)[order]
+        n_terms, n_entries = len(self.terms), len(entry_item)
+        self.heads = np.searchsorted(term_of, np.arange(n_terms + 1))
+        self.block = max(BLOCK, -(-n_entries // MOST_BLOCKS))
         # a little above the true maxima, so that rounding to 32 bits never hides an entry
-        self.block_max = np.zeros((max(1, len(self.terms)), n_blocks), dtype=np.float32)
-        for t, (p, w) in enumerate(zip(self.postings, self.weights, strict=True)):
-            np.maximum.at(self.block_max[t], np.array(p) // self.block, np.array(w, dtype=np.float32) * np.float32(1.000001))
+        self.block_max = np.zeros((max(1, n_terms), max(1, -(-n_entries // self.block))), dtype=np.float32)
+        np.maximum.at(self.block_max, (term_of, self.entries // self.block), self.weights.astype(np.float32) * np.float32(1.000001))
         self.term_max = self.block_max.max(axis=1)
-        self.term_bounds, self.block_bounds = self.term_max.tolist(), self.block_max.tolist()
+        self.listed: dict[int, tuple[list[int], list[float]]] = {}
+        self.room = LISTED
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"listed": {}, "room": LISTED}
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in self.__dict__.values() if isinstance(x, np.ndarray))
+
+    def list_of(self, term: int) -> tuple[list[int], list[float]]:
+        """A term's entries and weights."""
+        found = self.listed.get(term)
+        if found is None:
+            lo, hi = self.heads[term], self.heads[term + 1]
+            found = self.entries[lo:hi].tolist(), self.weights[lo:hi].tolist()
+            if LISTED_FROM <= hi - lo <= self.room:
+                self.room -= hi - lo
+                self.listed[term] = found
+        return found
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (entry, score) with a score of at least ``threshold`` for a query of distinct terms."""
         out = []
-        bounds, block_bounds, size = self.term_bounds, self.block_bounds, self.block
-        cursors = [[self.postings[t][0], 0, t] for t in terms]  # entry, place in the list, term
+        size = self.block
+        lists = {t: self.list_of(t) for t in terms}
+        bounds = dict(zip(terms, self.term_max[terms].tolist(), strict=True))
+        block_bounds = dict(zip(terms, self.block_max[terms].tolist(), strict=True))
+        cursors = [[lists[t][0][0], 0, t] for t in terms]  # entry, place in the list, term
         slack = threshold * (1 - 1e-9)
         while cursors:
             cursors.sort()
@@ -135,7 +160,7 @@ class BlockMaxIndex:
             block = entry // size
             if sum(block_bounds[c[2]][block] for c in cursors[: pivot + 1]) >= slack:
                 if cursors[0][0] == entry:
-                    score = sum(self.weights[c[2]][c[1]] for c in cursors[: pivot + 1])
+                    score = sum(lists[c[2]][1][c[1]] for c in cursors[: pivot + 1])
                     if score >= slack:
                         out.append((entry, score))
                     target = entry + 1
@@ -150,7 +175,7 @@ class BlockMaxIndex:
             stay = []
             for k, c in enumerate(cursors):
                 if k <= pivot and c[0] < target:
-                    p = self.postings[c[2]]
+                    p = lists[c[2]][0]
                     at = bisect_left(p, target, c[1])
                     if at == len(p):
                         continue
@@ -159,15 +184,18 @@ class BlockMaxIndex:
             cursors = stay
         return out
 
-    def verify(self, item: Item, words: list[str], begin: int) -> bool:
+    def verify(self, item: int, words: list[str], begin: int) -> bool:
         """Whether the words around a passage that begins at ``begin`` hold the item."""
-        near = words[max(0, begin - item.size) : begin + CELL * CELLS + item.size]
-        size = min(SHINGLE, item.size)
-        held = set(zip(*(near[k:] for k in range(size)), strict=False))
-        if len(item.shingles & held) < MIN_OVERLAP * len(item.shingles):
+        end = int(self.ends[item])
+        mine = self.words[int(self.ends[item - 1]) if item else 0 : end].tolist()
+        get = self.terms.get
+        near = [get(w, -1) for w in words[max(0, begin - len(mine)) : begin + CELL * CELLS + len(mine)]]
+        size = min(SHINGLE, len(mine))
+        own = grams(mine, size)
+        if len(own & grams(near, size)) < MIN_OVERLAP * len(own):
             return False
-        bag = set(near)
-        return len(item.question & bag) >= MIN_PART * len(item.question) and len(item.answer & bag) >= MIN_PART * len(item.answer)
+        bag, cut = set(near), int(self.answers[item])
+        return all(len(part & bag) >= MIN_PART * len(part) for part in (set(mine[:cut] or mine), set(mine[cut:] or mine)))
 
     def candidates(self, docs: list[list[str]]) -> list[tuple[int, int, list[int]]]:
         """(document, first word, distinct terms) of passages whose upper bounds reach the threshold in some block."""
@@ -216,35 +244,33 @@ class BlockMaxIndex:
         if docs and self.terms:
             for d, begin, terms in self.candidates(docs):
                 for entry, _ in self.wand(terms, MIN_SCORE):
-                    k = self.entry_item[entry]
-                    if k not in found[d] and self.verify(self.items[k], docs[d], begin):
+                    k = int(self.entry_item[entry])
+                    if k not in found[d] and self.verify(k, docs[d], begin):
                         found[d][k] = None
-        return [sorted((self.items[k].item_id for k in f), key=lambda i: (i is None, i)) for f in found]
+        return [sorted((self.item_id[k] for k in f), key=lambda i: (i is None, i)) for f in found]
 
 
-def item_groups(benchmark: DataFrame, id_column: str, text_column: str) -> list[BlockMaxIndex]:
-    """Indexes of all items in groups of bounded size; frequencies and means are those of all items."""
+def item_groups(benchmark: DataFrame, id_column: str, text_column: str) -> Iterator[BlockMaxIndex]:
+    """Indexes of all items in groups of bounded size, one at a time; frequencies and means are those of all items."""
     items = benchmark.select(F.col(id_column).cast("long").alias("item_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    total = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     n_groups = max(1, -(-total["bytes"] // GROUP_BYTES))
 
     def each(batch: pa.RecordBatch):
-        rows = [words_of(t) for t in batch.column(0).to_pylist()]
-        counts = Counter(w for r in rows for w in set(r))
-        yield table({"word": (list(counts), pa.string()), "n": (list(counts.values()), pa.int64()), "size": ([0] * len(counts), pa.int64())})
-        yield table({"word": ([None], pa.string()), "n": ([sum(1 for r in rows if r)], pa.int64()), "size": ([sum(map(len, rows))], pa.int64())})
+        for part in runs(batch, 0):
+            rows = [words_of(t) for t in part.column(0).to_pylist()]
+            counts = Counter(w for r in rows for w in set(r))
+            yield table({"word": (list(counts), pa.string()), "n": (list(counts.values()), pa.int64()), "size": ([0] * len(counts), pa.int64())})
+            yield table({"word": ([None], pa.string()), "n": ([sum(1 for r in rows if r)], pa.int64()), "size": ([sum(map(len, rows))], pa.int64())})
 
-    counted = map_arrow(items.select("text"), each, "word string, n long, size long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")).cache()
+    counted = cut(map_arrow(items.select("text"), each, "word string, n long, size long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("size").alias("size")))
     size = counted.where("word IS NULL").first()
     n_items, mean = (size["n"], size["size"] / max(1, size["n"])) if size else (0, 1.0)
-    out = []
     for g in range(n_groups):
-        mine = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("text"), F.lit(n_groups)) == g).collect()]
+        mine = [(r["item_id"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_groups)) == g).collect()]
         vocabulary = benchmark.sparkSession.createDataFrame([(w,) for w in {w for _, t in mine for w in words_of(t)}], "w string")
-        frequency = {r["word"]: r["n"] for r in counted.join(vocabulary, F.col("word") == F.col("w")).select("word", "n").collect()}
-        out.append(BlockMaxIndex(mine, frequency, n_items, mean))
-    counted.unpersist()
-    return out
+        frequency = {r["word"]: r["n"] for r in counted.join(F.broadcast(vocabulary), F.col("word") == F.col("w")).select("word", "n").collect()}
+        yield BlockMaxIndex(mine, frequency, n_items, mean)
 
 
 def match_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -258,7 +284,11 @@ def match_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_co
     ship(spark)
     now = docs.select(packed(carry).alias("row"), F.col(text_column).alias("text"), F.array().cast("array<long>").alias("item_ids"))
     kind = T.StructType([now.schema["row"], T.StructField("text", T.StringType()), T.StructField("item_ids", T.ArrayType(T.LongType()))])
+    shared = None
     for index in item_groups(benchmark, item_id, item_text):
+        if shared is not None:
+            now = stage(now, "matched")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(index)
 
         def each(batch: pa.RecordBatch, shared=shared):
@@ -268,7 +298,8 @@ def match_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_co
                 yield table({"row": (part.column(0), None), "text": (part.column(1), None), "item_ids": (both, pa.list_(pa.int64()))})
 
         now = map_arrow(now, each, kind)
-    return now.select("row", "item_ids")
+    # of several groups, each has given its ids in order
+    return now.select("row", F.array_sort("item_ids").alias("item_ids"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id") -> DataFrame:
