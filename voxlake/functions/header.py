@@ -260,12 +260,15 @@ def is_y_inverted(mapr: Column) -> Column:
     return mapr == -2
 
 
+ACCEPTED_MAPS = ("MAP ", "MAP\0", "MAPI", "\0\0\0\0")
+
+
 def is_standard_map(map_field: Column) -> Column:
     return map_field == "MAP "
 
 
 def accepted_map(map_field: Column) -> Column:
-    return map_field.isin("MAP ", "MAP\0", "MAPI", "\0\0\0\0")
+    return map_field.isin(*ACCEPTED_MAPS)
 
 
 def label_text(label: Column) -> Column:

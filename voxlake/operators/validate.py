@@ -2,72 +2,57 @@
 
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions import header as H
 from voxlake.functions.modes import MODES, data_size, mode_is_complex, mode_is_float
+from voxlake.functions.rules import PERMISSIVE, STRICT
 from voxlake.operators.stats import complex_stats, density_stats, is_close, nonfinite_counts
 
-VERSIONS = (0, 20140, 20141)
-
 
 def _c(n: str) -> Column:
     return F.col(n)
 
 
-def _positive(*names: str) -> Column:
-    out = F.lit(True)
-    for n in names:
-        out = out & (_c(n) > 0)
-    return out
-
-
 def _text(*parts: str | Column) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("?")) for p in parts))
 
 
-def _ispg_ok() -> Column:
-    return (_c("ispg") == 0) | _c("ispg").between(1, 230) | _c("ispg").between(400, 630)
-
+def _used_labels() -> Column:
+    return F.size(F.filter("labels", lambda x: ~H.label_blank(x)))
 
-def _axes_ok(permissive: bool) -> Column:
-    axes = F.array_sort(F.array(*((F.abs(_c(n)) if permissive else _c(n)) for n in ("mapc", "mapr", "maps"))))
-    return axes == F.array(F.lit(1), F.lit(2), F.lit(3))
 
+def _blank_at() -> Column:
+    """Index of the first blank label among the first nlabl; -1 if there is none."""
+    among = F.slice("labels", 1, F.greatest(F.least(_c("nlabl"), F.lit(10)), F.lit(0)))
+    return F.coalesce(F.array_position(F.transform(among, H.label_blank), True).cast("int"), F.lit(0)) - 1
 
-def _stack_ok() -> Column:
-    # the rule before it has checked mz > 0
-    return ~H.is_volume_stack(_c("ispg")) | (_c("mz") == 0) | (F.expr("try_mod(nz, mz)") == 0)
 
+class _Columns(dict):
+    """What the header rules read, as columns; ``labels`` holds ten raw labels."""
 
-def _used_labels() -> Column:
-    return F.size(F.filter("labels", lambda x: ~H.label_blank(x)))
+    def __missing__(self, name: str) -> Column:
+        made = {
+            "mode_ok": lambda: _c("mode").isin(list(MODES)),
+            "map_ok": lambda: H.accepted_map(_c("map")),
+            "labels_used": _used_labels,
+            "first_blank": _blank_at,
+            "stack_rest": lambda: F.coalesce(F.expr("try_mod(nz, mz)"), F.lit(0)),
+        }
+        return made[name]() if name in made else _c(name)
 
 
-def _blank_at() -> Column:
-    """Index of the first blank label among the first nlabl; null if there is none."""
-    among = F.slice("labels", 1, F.greatest(F.least(_c("nlabl"), F.lit(10)), F.lit(0)))
-    return F.array_position(F.transform(among, H.label_blank), True) - 1
+def _message(template: str) -> Column:
+    v = _Columns()
+    return _text(*(x for text, name, _, _ in Formatter().parse(template) for x in ((text,) if text else ()) + ((v[name],) if name else ())))
 
 
 def strict_rules() -> list[tuple[str, Column, Column]]:
-    """(code, holds, message) in the order in which the first failure counts. ``labels`` holds ten raw labels."""
-    dims, known = ("nx", "ny", "nz"), list(MODES)
-    return [
-        ("InvalidDimensions", _positive(*dims), _text("Dimensions ", _c("nx"), " x ", _c("ny"), " x ", _c("nz"), " must all be positive")),
-        ("UnsupportedMode", _c("mode").isin(known), _text("Mode ", _c("mode"), " is not supported")),
-        ("InvalidMap", H.accepted_map(_c("map")), _text("MAP field is not the standard one: ", _c("map"))),
-        ("InvalidIspg", _ispg_ok(), _text("ISPG ", _c("ispg"), " is not 0, 1-230 or 400-630")),
-        ("InvalidAxisMapping", _axes_ok(False), _text("Axes ", _c("mapc"), ", ", _c("mapr"), ", ", _c("maps"), " do not permute 1, 2, 3")),
-        ("InvalidNsymbt", _c("nsymbt") >= 0, _text("NSYMBT ", _c("nsymbt"), " is negative")),
-        ("InvalidNlabl", _c("nlabl").between(0, 10), _text("NLABL ", _c("nlabl"), " is not 0-10")),
-        ("LabelCountMismatch", _used_labels() == _c("nlabl"), _text("NLABL ", _c("nlabl"), " but ", _used_labels(), " labels are used")),
-        ("EmptyLabelBeforeFilled", F.coalesce(_blank_at(), F.lit(-1)) < 0, _text("Label ", _blank_at(), " is blank before the last used one")),
-        ("InvalidNversion", _c("nversion").isin(*VERSIONS), _text("NVERSION ", _c("nversion"), " is not 0, 20140 or 20141")),
-        ("InvalidSampling", _positive("mx", "my", "mz"), _text("Sampling ", _c("mx"), ", ", _c("my"), ", ", _c("mz"), " must be positive")),
-        ("InvalidVolumeStack", _stack_ok(), _text("Stack: nz ", _c("nz"), " is no multiple of mz ", _c("mz"))),
-    ]
+    """(code, holds, message) in the order in which the first failure counts."""
+    return [(code, rule(_Columns()), _message(message)) for code, rule, message in STRICT]
 
 
 def first_error() -> Column:
@@ -95,19 +80,7 @@ def fatal_error() -> Column:
 
 def permissive_warnings() -> Column:
     """Warnings instead of errors: axes may be negative (mapr -2 is noted), labels are not counted, NVERSION 0 warns."""
-    axes = _axes_ok(True)
-    stack = ("InvalidVolumeStack", "InvalidSampling", "InvalidNlabl", "InvalidNsymbt", "InvalidIspg", "InvalidMap")
-    by_code = {code: F.when(~F.coalesce(ok, F.lit(False)), message) for code, ok, message in strict_rules() if code in stack}
-    notes = [
-        by_code["InvalidMap"],
-        by_code["InvalidIspg"],
-        F.when(~axes, _text("Axes ", _c("mapc"), ", ", _c("mapr"), ", ", _c("maps"), " do not permute 1, 2, 3")).when(_c("mapr") == -2, F.lit("mapr -2: rows are inverted")),
-        by_code["InvalidNsymbt"],
-        by_code["InvalidNlabl"],
-        F.when(~_c("nversion").isin(20140, 20141), _text("NVERSION ", _c("nversion"), " is not 20140 or 20141")),
-        by_code["InvalidSampling"],
-        by_code["InvalidVolumeStack"],
-    ]
+    notes = [F.when(~F.coalesce(rule(_Columns()), F.lit(False)), _message(message)) for rule, message in PERMISSIVE]
     return F.filter(F.array(*notes), lambda x: x.isNotNull())
 
 

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow.fs as pafs
 
 from voxlake import errors as E
-from voxlake.functions.header import HEADER_BYTES, Header, decode_header
+from voxlake.functions.header import ACCEPTED_MAPS, HEADER_BYTES, Header, decode_header
 from voxlake.functions.modes import MODES, Mode, data_bytes, dtype, mode_of
+from voxlake.functions.rules import PERMISSIVE, STRICT
 
 #: A decompressed file may have so many bytes.
 MAX_DECOMPRESSED = 256 << 30
@@ -61,46 +62,24 @@ def decompressed_size(stream: io.IOBase, limit: int) -> int:
     return size
 
 
-def strict_problem(h: Header) -> tuple[str, str] | None:
-    """The first strict header rule that fails, as (code, message); the column rules in ``operators.validate`` in plain values."""
+def rule_values(h: Header) -> dict:
+    """What the header rules read, of one header."""
     v = h.values
-    raw = v["labels"]
-    used = [bool(raw[80 * i : 80 * i + 80].strip(b"\0 ")) for i in range(10)]
-    stack = 400 <= v["ispg"] <= 630
-    checks = [
-        ("InvalidDimensions", min(v["nx"], v["ny"], v["nz"]) > 0),
-        ("UnsupportedMode", v["mode"] in MODES),
-        ("InvalidMap", v["map"] in (b"MAP ", b"MAP\0", b"MAPI", bytes(4))),
-        ("InvalidIspg", 0 <= v["ispg"] <= 230 or stack),
-        ("InvalidAxisMapping", sorted((v["mapc"], v["mapr"], v["maps"])) == [1, 2, 3]),
-        ("InvalidNsymbt", v["nsymbt"] >= 0),
-        ("InvalidNlabl", 0 <= v["nlabl"] <= 10),
-        ("LabelCountMismatch", sum(used) == v["nlabl"]),
-        ("EmptyLabelBeforeFilled", all(used[: max(v["nlabl"], 0)])),
-        ("InvalidNversion", h.nversion in (0, 20140, 20141)),
-        ("InvalidSampling", min(v["mx"], v["my"], v["mz"]) > 0),
-        ("InvalidVolumeStack", not stack or v["mz"] == 0 or v["nz"] % v["mz"] == 0),
-    ]
-    code = next((c for c, ok in checks if not ok), None)
-    return (code, f"header rule {code} fails") if code else None
+    used = [bool(v["labels"][80 * i : 80 * i + 80].strip(b"\0 ")) for i in range(10)]
+    among = used[: max(min(v["nlabl"], 10), 0)]
+    text = v["map"].decode("latin-1")
+    return v | {"nversion": h.nversion, "map": text, "map_ok": text in ACCEPTED_MAPS, "mode_ok": v["mode"] in MODES, "labels_used": sum(used), "first_blank": among.index(False) if False in among else -1, "stack_rest": v["nz"] % v["mz"] if v["mz"] else 0}
+
+
+def strict_problem(h: Header) -> tuple[str, str] | None:
+    """The first strict header rule that fails, as (code, message)."""
+    v = rule_values(h)
+    return next(((code, message.format_map(v)) for code, rule, message in STRICT if not rule(v)), None)
 
 
 def permissive_warnings(h: Header) -> list[str]:
-    v = h.values
-    stack = 400 <= v["ispg"] <= 630
-    axes = sorted(abs(v[a]) for a in ("mapc", "mapr", "maps")) == [1, 2, 3]
-    notes = [
-        (v["map"] not in (b"MAP ", b"MAP\0", b"MAPI", bytes(4)), f"MAP field is not the standard one: {v['map']!r}"),
-        (not (0 <= v["ispg"] <= 230 or stack), f"ISPG {v['ispg']} is not 0, 1-230 or 400-630"),
-        (not axes, "axes do not permute 1, 2, 3"),
-        (axes and v["mapr"] == -2, "mapr -2: rows are inverted"),
-        (v["nsymbt"] < 0, f"NSYMBT {v['nsymbt']} is negative"),
-        (not 0 <= v["nlabl"] <= 10, f"NLABL {v['nlabl']} is not 0-10"),
-        (h.nversion not in (20140, 20141), f"NVERSION {h.nversion} is not 20140 or 20141"),
-        (min(v["mx"], v["my"], v["mz"]) <= 0, "sampling must be positive"),
-        (stack and v["mz"] != 0 and v["nz"] % v["mz"] != 0, f"stack: nz {v['nz']} is no multiple of mz {v['mz']}"),
-    ]
-    return [m for bad, m in notes if bad]
+    v = rule_values(h)
+    return [message.format_map(v) for rule, message in PERMISSIVE if not rule(v)]
 
 
 @dataclass
