@@ -15,6 +15,8 @@ from voxlake.session import ship
 
 #: Python handles text in runs of about so many bytes, however many rows Arrow delivers.
 RUN_BYTES = 4 << 20
+#: A key of more than this share of all rows is joined by broadcast, at most as many keys as that allows.
+HOT_SHARE = 1e-4
 
 
 def runs(batch: pa.RecordBatch, column: int, limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
@@ -119,3 +121,17 @@ def gather(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray, step: int =
         ends = np.cumsum(n)
         out.append(flat[np.repeat(b - ends + n, n) + np.arange(int(ends[-1]))])
     return np.concatenate(out) if out else flat[:0]
+
+
+def with_value(rows: DataFrame, key: str, spread: str, values: DataFrame, total: int) -> DataFrame:
+    """Add ``value`` to rows, by ``key``; ``values`` has (of, value, n), with the number n of rows of each key.
+
+    Keys of more than HOT_SHARE of ``total`` rows, of which there are at most 1 / HOT_SHARE, are
+    joined by broadcast; their rows, and those without a key, go to the other join under ``spread``
+    (of the key's type, not null) instead. The value of a key that ``values`` lacks is null.
+    """
+    hot = values.where(F.col("n") > HOT_SHARE * total).select(F.col("of").alias("hot_of"), F.col("value").alias("hot_value"))
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_of"), "left")
+    dealt = marked.withColumn("dealt_by", F.when(F.col("hot_of").isNotNull() | F.col(key).isNull(), F.col(spread)).otherwise(F.col(key)))
+    joined = dealt.join(values.select("of", F.col("value").alias("cold_value")), F.col("dealt_by") == F.col("of"), "left")
+    return joined.select(*rows.columns, F.when(F.col(key).isNotNull(), F.coalesce("hot_value", "cold_value")).alias("value"))

@@ -223,6 +223,9 @@ def _next(trial: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def step(bins: pd.DataFrame, estimates: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, e in estimates.iterrows():
+            if e["done"]:
+                out.append([*e[NAMES]])
+                continue
             half = half_of(int(e["n"]))
             mean, cov = moments_of(bins[bins["start"] == e["start"]].sort_values("bin"), half)
             row = _row(e, e["start"], mean, drawn(consistency(half / e["n"]) * cov, e["n"], _matrix(e["t_cov"])))
@@ -274,20 +277,16 @@ def estimate(vectors: DataFrame, targets: DataFrame) -> DataFrame:
     right = targets.withColumnRenamed("g0", "h0")
     named = rows.join(F.broadcast(right) if small else right, F.col("g0") == F.col("h0")).drop("h0")
     estimates = cut(named.mapInPandas(lambda parts: map(_starts, parts), ESTIMATE))
-    finished = []
     for trial in range(1, STEPS + 1):
         bins = F.least(F.floor(BINS * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))), F.lit(TOP_BIN)).cast("int")
-        pairs = _by_bin(_with_estimate(vectors, estimates, small), bins).groupBy("g0", "g1").cogroup(estimates.toDF(*NAMES).groupBy("g0", "g1"))
+        going = estimates.where(~F.col("done")).select("g0", "g1", "start", "center", "inverse")
+        pairs = _by_bin(_with_estimate(vectors, going, small), bins).groupBy("g0", "g1").cogroup(estimates.toDF(*NAMES).groupBy("g0", "g1"))
         # a written table, since a checkpoint would carry the filters of all steps before
-        found = stage(pairs.applyInPandas(_next(trial), ESTIMATE), "estimates")
-        finished.append(found.where("done"))
-        estimates = found.where(~F.col("done"))
-        if trial > TRIALS and estimates.isEmpty():
+        estimates = stage(pairs.applyInPandas(_next(trial), ESTIMATE), "estimates")
+        if trial > TRIALS and estimates.where(~F.col("done")).isEmpty():
             break
-    for x in finished:
-        estimates = estimates.unionByName(x)
     inner = F.when(_distance() <= chi2_quantile(CORE, P), 0).otherwise(1)
-    pairs = _by_bin(_with_estimate(vectors, estimates, small), inner).groupBy("g0", "g1").cogroup(estimates.toDF(*NAMES).groupBy("g0", "g1"))
+    pairs = _by_bin(_with_estimate(vectors, estimates.select("g0", "g1", "start", "center", "inverse"), small), inner).groupBy("g0", "g1").cogroup(estimates.toDF(*NAMES).groupBy("g0", "g1"))
     return cut(pairs.applyInPandas(_final, ESTIMATE))
 
 

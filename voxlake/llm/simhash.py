@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.llm.common import map_arrow, packed, runs, table
+from voxlake.llm.common import map_arrow, packed, runs, table, with_value
 from voxlake.session import cut, ship, stage
 
 RADIUS = 3
@@ -39,8 +39,6 @@ LARGE_GROUP = 4096
 #: Large groups' keys are broadcast up to this number (16 MB), else joined by shuffle.
 BROADCAST_GROUPS = 500_000
 FAN = 8
-#: A key of more than this share of all rows is joined by broadcast, at most as many keys as that allows.
-HOT_SHARE = 1e-4
 #: Fingerprints of more rows are joined apart: by broadcast below BROADCAST_GROUPS of them, else by salt.
 HOT_COPIES, SALTS = 1000, 64
 #: Comparisons of queries with leaves that a step of the search may have to hold.
@@ -431,24 +429,11 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     return rows.repartition(parts, "k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
 
 
-def with_value(rows: DataFrame, key: str, spread: str, values: DataFrame, total: int) -> DataFrame:
-    """Add ``value`` to rows, by ``key``; ``values`` has (of, value, n), with the number n of rows of each key.
-
-    Keys of more than HOT_SHARE of ``total`` rows, of which there are at most 1 / HOT_SHARE, are
-    joined by broadcast; their rows go to the other join under ``spread`` (of the same type) instead.
-    """
-    hot = values.where(F.col("n") > HOT_SHARE * total).select(F.col("of").alias("hot_of"), F.col("value").alias("hot_value"))
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_of"), "left")
-    dealt = marked.withColumn("dealt_by", F.when(F.col("hot_of").isNotNull(), F.col(spread)).otherwise(F.col(key)))
-    joined = dealt.join(values.select("of", F.col("value").alias("cold_value")), F.col("dealt_by") == F.col("of"), "left")
-    return joined.select(*rows.columns, F.coalesce("hot_value", "cold_value").alias("value"))
-
-
 def star_components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node that is not its component's least node, by alternating star steps."""
 
     def with_least(pairs: DataFrame, total: int) -> DataFrame:
-        least = cut(pairs.groupBy("u").agg(F.min("v").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "of"))
+        least = pairs.groupBy("u").agg(F.min("v").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "of")
         return with_value(pairs, "u", "v", least, total)
 
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
@@ -474,7 +459,7 @@ def components(rows: DataFrame, edges: Callable[[DataFrame], DataFrame] = edges_
     members = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     firsts = members.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "first")
     firsts = cut(firsts)
-    least = cut(firsts.groupBy("root").agg(F.min("first").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "of"))
+    least = firsts.groupBy("root").agg(F.min("first").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "of")
     linked = with_value(firsts, "root", "node", least, firsts.count()).select("node", F.col("value").alias("component"))
     named = cut(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component"), "copies"))
     # a fingerprint that many rows share must not bring them together in one task
