@@ -26,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import table
+from voxlake.llm.common import table, with_value
 from voxlake.session import cut, fresh_path, ship
 
 #: Plain bytes of a frame, about; a longer record has a frame of its own.
@@ -192,9 +192,15 @@ def with_refers_to(pages: DataFrame, id_column: str, payload_column: str, least_
     key = F.when(F.octet_length("payload") >= least_bytes, F.sha2("payload", 256))
     # the payloads stay where they are: only digests that occur twice or more go any further
     again = keyed.select(key.alias("key"), "id").where(F.col("key").isNotNull()).groupBy("key").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
-    again = cut(again.where((F.col("n") > 1) & F.col("last").isNotNull()).select("key", "last"))
-    right = F.broadcast(again) if again.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS else again
-    joined = keyed.withColumn("key", key).join(right, "key", "left")
+    again = cut(again.where((F.col("n") > 1) & F.col("last").isNotNull()).select("key", "last", "n"))
+    marked = keyed.withColumn("key", key)
+    if again.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:
+        joined = marked.join(F.broadcast(again.drop("n")), "key", "left")
+    else:
+        # a digest that many rows share must not bring their payloads together in one task
+        spread = F.concat(F.lit("row "), F.monotonically_increasing_id().cast("string"))
+        values = again.select(F.col("key").alias("of"), F.col("last").alias("value"), "n")
+        joined = with_value(marked.withColumn("spread", spread), "key", "spread", values, again.agg(F.sum("n")).first()[0]).withColumnRenamed("value", "last")
     return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
 
 
