@@ -5,6 +5,7 @@ import resource
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 import xxhash
@@ -178,7 +179,7 @@ def test_wand_and_matches_equal_brute_force(spark):
         terms = sorted({index.terms[w] for w in words if w in index.terms})
         score = Counter()
         for t in terms:
-            for e, x in zip(*index.list_of(t), strict=True):
+            for e, x in zip(*index.list_of(t)[:2], strict=True):
                 score[e] += x
         for threshold in (0.05, 0.2, 0.6):
             assert sorted(e for e, _ in index.wand(terms, threshold)) == sorted(e for e, s in score.items() if s >= threshold * (1 - 1e-9))
@@ -205,7 +206,7 @@ def test_index_of_many_items_in_bounded_memory():
     index = decontam.BlockMaxIndex(items, frequency, len(items), 66.0)
     assert sum(len(t) for _, t in items) > 7_000_000 and index.nbytes() < 70_000_000
     text = " ".join(r.choices(pool, k=300))
-    found = index.find([f"{text} {items[7][1]} {text}", text, None, items[15_999][1]])
+    found = index.find(pa.array([f"{text} {items[7][1]} {text}", text, None, items[15_999][1]]))
     assert found == [[7], [], [], [15_999]]
     assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000
 

@@ -28,6 +28,7 @@ from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.llm.common import map_arrow, packed, runs, table
+from voxlake.llm.common import WordTable, gather, map_arrow, packed, runs, split_words, table
 from voxlake.session import cut, ship, stage
 
 K1, B = 1.2, 0.75
@@ -50,10 +51,10 @@ SHINGLE = 5
 BLOCK, MOST_BLOCKS = 8, 64
 #: Item text in a broadcast index.
 GROUP_BYTES = 8 << 20
-#: Postings that a worker keeps as lists, and the shortest list that it keeps.
-LISTED, LISTED_FROM = 1 << 20, 64
+#: Postings and block maxima that a worker keeps as lists.
+LISTED = 1 << 20
 #: Document text that is looked up at once.
-RUN = 1 << 20
+RUN = 4 << 20
 
 _WORDS = re.compile(r"\w+")
 _LAST = re.compile(r"(?s)^(.*[.?!\n])\s*(\S.*)$")
@@ -117,21 +118,23 @@ class BlockMaxIndex:
         self.term_max = self.block_max.max(axis=1)
         self.listed: dict[int, tuple[list[int], list[float]]] = {}
         self.room = LISTED
+        self.table = WordTable()
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"listed": {}, "room": LISTED}
+        return self.__dict__ | {"listed": {}, "room": LISTED, "table": WordTable()}
 
     def nbytes(self) -> int:
         return sum(x.nbytes for x in self.__dict__.values() if isinstance(x, np.ndarray))
 
-    def list_of(self, term: int) -> tuple[list[int], list[float]]:
-        """A term's entries and weights."""
+    def list_of(self, term: int) -> tuple[list[int], list[float], list[float], float]:
+        """A term's entries, their weights, its block maxima and its largest weight."""
         found = self.listed.get(term)
         if found is None:
             lo, hi = self.heads[term], self.heads[term + 1]
-            found = self.entries[lo:hi].tolist(), self.weights[lo:hi].tolist()
-            if LISTED_FROM <= hi - lo <= self.room:
-                self.room -= hi - lo
+            found = self.entries[lo:hi].tolist(), self.weights[lo:hi].tolist(), self.block_max[term].tolist(), float(self.term_max[term])
+            size = int(hi - lo) + len(found[2])
+            if size <= self.room:
+                self.room -= size
                 self.listed[term] = found
         return found
 
@@ -140,8 +143,8 @@ class BlockMaxIndex:
         out = []
         size = self.block
         lists = {t: self.list_of(t) for t in terms}
-        bounds = dict(zip(terms, self.term_max[terms].tolist(), strict=True))
-        block_bounds = dict(zip(terms, self.block_max[terms].tolist(), strict=True))
+        bounds = {t: x[3] for t, x in lists.items()}
+        block_bounds = {t: x[2] for t, x in lists.items()}
         cursors = [[lists[t][0][0], 0, t] for t in terms]  # entry, place in the list, term
         slack = threshold * (1 - 1e-9)
         while cursors:
@@ -184,12 +187,25 @@ class BlockMaxIndex:
             cursors = stay
         return out
 
-    def verify(self, item: int, words: list[str], begin: int) -> bool:
-        """Whether the words around a passage that begins at ``begin`` hold the item."""
+    def _new(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of the words of each chunk; -1 for words that no item has."""
+        get = self.terms.get
+        found = [[get(w, -1) for w in words_of(c)] for c in chunks.to_pylist()]
+        sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int32, count=int(sizes.sum())).view(np.uint32), sizes
+
+    def word_terms(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Terms of all words of the texts, one after another, and how many words each text has; words do not go over spaces."""
+        heads, index, chunks = split_words(texts, "", {})
+        flat, begins, sizes = self.table.resolve(chunks, np.bincount(index, minlength=len(chunks)), self._new)
+        width = sizes[index]
+        return gather(flat, begins[index], width).view(np.int32), np.add.reduceat(width, heads[:-1])
+
+    def verify(self, item: int, words: np.ndarray, begin: int) -> bool:
+        """Whether the words (terms of a document) around a passage that begins at ``begin`` hold the item."""
         end = int(self.ends[item])
         mine = self.words[int(self.ends[item - 1]) if item else 0 : end].tolist()
-        get = self.terms.get
-        near = [get(w, -1) for w in words[max(0, begin - len(mine)) : begin + CELL * CELLS + len(mine)]]
+        near = words[max(0, begin - len(mine)) : begin + CELL * CELLS + len(mine)].tolist()
         size = min(SHINGLE, len(mine))
         own = grams(mine, size)
         if len(own & grams(near, size)) < MIN_OVERLAP * len(own):
@@ -197,17 +213,14 @@ class BlockMaxIndex:
         bag, cut = set(near), int(self.answers[item])
         return all(len(part & bag) >= MIN_PART * len(part) for part in (set(mine[:cut] or mine), set(mine[cut:] or mine)))
 
-    def candidates(self, docs: list[list[str]]) -> list[tuple[int, int, list[int]]]:
+    def candidates(self, ids: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, list[int]]]:
         """(document, first word, distinct terms) of passages whose upper bounds reach the threshold in some block."""
-        get = self.terms.get
-        sizes = np.array([len(d) for d in docs])
         cells = -(-sizes // CELL)
         base = np.cumsum(cells + CELLS - 1) - (cells + CELLS - 1)
-        ids = np.fromiter((get(w, -1) for d in docs for w in d), dtype=np.int64, count=int(sizes.sum()))
         known = np.flatnonzero(ids >= 0)
         if not len(known):
             return []
-        doc = np.repeat(np.arange(len(docs)), sizes)[known]
+        doc = np.repeat(np.arange(len(sizes)), sizes)[known]
         place = known - (np.cumsum(sizes) - sizes)[doc]
         n_terms, n_cells = len(self.terms), int(base[-1] + cells[-1]) + CELLS
         pairs = np.unique((base[doc] + place // CELL) * n_terms + ids[known])
@@ -237,15 +250,16 @@ class BlockMaxIndex:
             out.append((d, (w - int(base[d])) * CELL, np.unique(term[lo:hi]).tolist()))
         return out
 
-    def find(self, texts: list[str | None]) -> list[list[int | None]]:
+    def find(self, texts: pa.Array) -> list[list[int | None]]:
         """Ids of the items that each text holds."""
-        docs = [words_of(t) for t in texts]
-        found: list[dict[int, None]] = [{} for _ in docs]
-        if docs and self.terms:
-            for d, begin, terms in self.candidates(docs):
+        found: list[dict[int, None]] = [{} for _ in range(len(texts))]
+        if found and self.terms:
+            ids, sizes = self.word_terms(texts)
+            ends = np.cumsum(sizes)
+            for d, begin, terms in self.candidates(ids, sizes):
                 for entry, _ in self.wand(terms, MIN_SCORE):
                     k = int(self.entry_item[entry])
-                    if k not in found[d] and self.verify(k, docs[d], begin):
+                    if k not in found[d] and self.verify(k, ids[ends[d] - sizes[d] : ends[d]], begin):
                         found[d][k] = None
         return [sorted((self.item_id[k] for k in f), key=lambda i: (i is None, i)) for f in found]
 
@@ -293,7 +307,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame, carry: list[str], text_co
 
         def each(batch: pa.RecordBatch, shared=shared):
             for part in runs(batch, 1, RUN):
-                found = shared.value.find(part.column(1).to_pylist())
+                found = shared.value.find(part.column(1))
                 both = [a + b for a, b in zip(part.column(2).to_pylist(), found, strict=True)]
                 yield table({"row": (part.column(0), None), "text": (part.column(1), None), "item_ids": (both, pa.list_(pa.int64()))})
 
