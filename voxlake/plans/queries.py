@@ -389,7 +389,7 @@ def slice_metadata_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{HEADER_SQL} SELECT id, round(CASE WHEN mx = 0 THEN 0 ELSE xlen / mx END, 9) AS vx, round(CASE WHEN my = 0 THEN 0 ELSE ylen / my END, 9) AS vy, round(CASE WHEN mz = 0 THEN 0 ELSE zlen / mz END, 9) AS vz,
     round(CASE WHEN xlen <= 0 OR ylen <= 0 OR zlen <= 0 THEN 0 ELSE xlen * ylen * zlen * sqrt(greatest(1 - cos(radians(alpha)) ^ 2 - cos(radians(beta)) ^ 2 - cos(radians(gamma)) ^ 2 + 2 * cos(radians(alpha)) * cos(radians(beta)) * cos(radians(gamma)), 0)) END, 6) AS cell,
     CASE WHEN nz = 1 THEN 'single image' WHEN ispg = 0 THEN 'image stack' WHEN ispg BETWEEN 400 AND 630 THEN 'volume stack' ELSE 'volume' END AS kind,
-    CASE WHEN ispg BETWEEN 400 AND 630 THEN CASE WHEN mz > 0 THEN [nz // mz, mz, ny, nx] ELSE [0, 0, ny, nx] END ELSE [1, nz, ny, nx] END::INT[]::VARCHAR AS logical_shape,
+    CASE WHEN ispg BETWEEN 400 AND 630 THEN CASE WHEN mz > 0 THEN [floor(nz / mz), mz, ny, nx] ELSE [0, 0, ny, nx] END ELSE [1, nz, ny, nx] END::INT[]::VARCHAR AS logical_shape,
     (1024 + greatest(nsymbt, 0))::BIGINT AS data_offset, mapr = -2 AS y_inverted FROM hdr"""
 )
 def header_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,7 +398,7 @@ def header_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = [F.round(H.voxel_size(c(f"{a}len"), c(f"m{a}")), 9).alias(f"v{a}") for a in "xyz"]
     cell = H.cell_volume(*(c(n) for n in ("xlen", "ylen", "zlen", "alpha", "beta", "gamma")))
     text = F.concat(F.lit("["), F.concat_ws(", ", F.transform(shape, lambda x: x.cast("string"))), F.lit("]"))
-    return header_rows(spark).select("id", *sizes, F.round(cell, 6).alias("cell"), H.volume_kind(c("nz"), c("ispg")).alias("kind"), text.alias("logical_shape"), H.data_offset(c("nsymbt")).alias("data_offset"), H.is_y_inverted(c("mapr")).alias("y_inverted"))
+    return header_rows(spark, sf_dir).select("id", *sizes, F.round(cell, 6).alias("cell"), H.volume_kind(c("nz"), c("ispg")).alias("kind"), text.alias("logical_shape"), H.data_offset(c("nsymbt")).alias("data_offset"), H.is_y_inverted(c("mapr")).alias("y_inverted"))
 
 
 _STRICT_SQL = """CASE WHEN nx <= 0 OR ny <= 0 OR nz <= 0 THEN 'InvalidDimensions' WHEN mode NOT IN (0, 1, 2, 3, 4, 6, 12, 101) THEN 'UnsupportedMode' WHEN map <> 'MAP ' THEN 'InvalidMap'
@@ -409,7 +409,7 @@ _STRICT_SQL = """CASE WHEN nx <= 0 OR ny <= 0 OR nz <= 0 THEN 'InvalidDimensions
 
 @query(f"{HEADER_SQL} SELECT id, {_STRICT_SQL} AS error_code FROM hdr")
 def header_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return header_rows(spark).select("id", V.first_error().alias("error_code"))
+    return header_rows(spark, sf_dir).select("id", V.first_error().alias("error_code"))
 
 
 @query(
@@ -418,39 +418,53 @@ def header_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     + (nversion NOT IN (20140, 20141))::INT + (mx <= 0 OR my <= 0 OR mz <= 0)::INT + (ispg BETWEEN 400 AND 630 AND mz <> 0 AND nz % (CASE WHEN mz = 0 THEN 1 ELSE mz END) <> 0)::INT)::INT AS n_warnings FROM hdr"""
 )
 def header_permissive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return header_rows(spark).select("id", V.fatal_error().alias("fatal"), F.size(V.permissive_warnings()).alias("n_warnings"))
+    return header_rows(spark, sf_dir).select("id", V.fatal_error().alias("fatal"), F.size(V.permissive_warnings()).alias("n_warnings"))
 
 
-@query("SELECT id::INT AS id, CASE WHEN stamp LIKE '1111%' THEN 'big' ELSE 'little' END AS endian, stamp LIKE '1111%' OR stamp LIKE '4444%' AS is_standard FROM (VALUES (1, '44440000'), (2, '44410000'), (3, '11110000'), (4, '00000000'), (5, '4144')) t(id, stamp)")
+_STAMP = "CASE event_id % 3 WHEN 0 THEN '4444' WHEN 1 THEN '1111' ELSE lpad(hex(event_id % 65536), 4, '0') END || '0000'"
+
+
+@query(f"WITH t AS (SELECT event_id AS id, {_STAMP} AS stamp FROM events) SELECT id, CASE WHEN stamp LIKE '1111%' THEN 'big' ELSE 'little' END AS endian, stamp LIKE '1111%' OR stamp LIKE '4444%' AS is_standard FROM t")
 def machst_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(1, "44440000"), (2, "44410000"), (3, "11110000"), (4, "00000000"), (5, "4144")], "id int, stamp string")
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.expr(_STAMP).alias("stamp"))
     endian, standard = H.machst_endian(F.col("stamp"))
     return t.select("id", endian.alias("endian"), standard.alias("is_standard"))
 
 
-@query("SELECT id::INT AS id, CASE WHEN h LIKE '1F8B%' THEN 'gzip' WHEN h LIKE '425A%' THEN 'bzip2' ELSE 'plain' END AS compression FROM (VALUES (1, '1F8B0800'), (2, '425A6839'), (3, '00000040'), (4, '1F'), (5, ''), (6, '8B1F')) t(id, h)")
+_PREFIX = "CASE page_id % 4 WHEN 0 THEN '1F8B' WHEN 1 THEN '425A' WHEN 2 THEN '1F' ELSE '' END"
+
+
+@query(f"WITH t AS (SELECT page_id, {_PREFIX} || hex(encode(html)) AS h FROM pages) SELECT page_id, CASE WHEN h LIKE '1F8B%' THEN 'gzip' WHEN h LIKE '425A%' THEN 'bzip2' ELSE 'plain' END AS compression FROM t")
 def compression_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(1, "1F8B0800"), (2, "425A6839"), (3, "00000040"), (4, "1F"), (5, ""), (6, "8B1F")], "id int, h string")
-    return t.select("id", H.detect_compression(F.unhex("h")).alias("compression"))
+    raw = F.concat(F.unhex(F.expr(_PREFIX)), F.col("html").cast("binary"))
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", H.detect_compression(raw).alias("compression"))
 
 
-@query("SELECT id::INT AS id, regexp_replace(rpad(s, 80, ' '), '\\s+$', '') AS label, trim(s) = '' AS is_blank FROM (VALUES (1, 'Created by a test'), (2, ''), (3, '   '), (4, '  leading'), (5, 'tab' || chr(9)), (6, 'naïve größe')) t(id, s)")
+@query("SELECT doc_id, regexp_replace(rpad(s, 80, ' '), '\\s+$', '') AS label, trim(s) = '' AS is_blank FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN repeat(' ', (doc_id % 80)::INT) ELSE substr(text, 1, 1 + (doc_id % 80)::INT) END AS s FROM documents)")
 def label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(1, "Created by a test"), (2, ""), (3, "   "), (4, "  leading"), (5, "tab\t"), (6, "naïve größe")], "id int, s string")
-    raw = F.rpad("s", 80, " ")
-    return t.select("id", H.label_text(raw).alias("label"), H.label_blank(raw).alias("is_blank"))
+    """Labels cut from texts, and blank ones."""
+    size = (F.col("doc_id") % 80).cast("int")
+    raw = F.rpad(F.when(F.col("doc_id") % 5 == 0, F.repeat(F.lit(" "), size)).otherwise(F.substring("text", F.lit(1), size + 1)), 80, " ")
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", H.label_text(raw).alias("label"), H.label_blank(raw).alias("is_blank"))
+
+
+_CODES = "CASE event_id % 8 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 6 WHEN 6 THEN 12 ELSE 101 END"
 
 
 @query(
-    """SELECT code::INT AS code, name, size::INT AS size, cplx AS is_complex, ints AS is_integer, floats AS is_float, (CASE WHEN code = 101 THEN 4 ELSE size * 7 END)::BIGINT AS bytes_for_7,
-    (CASE WHEN code = 101 THEN 4 ELSE size * 7 END * 5 * 3)::BIGINT AS data_size FROM (VALUES (0, 'Int8', 1, false, true, false), (1, 'Int16', 2, false, true, false), (2, 'Float32', 4, false, false, true),
-    (3, 'Int16Complex', 4, true, true, false), (4, 'Float32Complex', 8, true, false, true), (6, 'Uint16', 2, false, true, false), (12, 'Float16', 2, false, false, true), (101, 'Packed4Bit', 1, false, true, false)) t(code, name, size, cplx, ints, floats)"""
+    f"""WITH t AS (SELECT event_id AS id, {_CODES} AS code, event_id % 9 AS nx, event_id % 5 AS ny, event_id % 4 AS nz FROM events),
+    m(code, name, size, cplx, ints, floats) AS (VALUES (0, 'Int8', 1, false, true, false), (1, 'Int16', 2, false, true, false), (2, 'Float32', 4, false, false, true),
+    (3, 'Int16Complex', 4, true, true, false), (4, 'Float32Complex', 8, true, false, true), (6, 'Uint16', 2, false, true, false), (12, 'Float16', 2, false, false, true), (101, 'Packed4Bit', 1, false, true, false))
+    SELECT id, name, size::INT AS size, cplx AS is_complex, ints AS is_integer, floats AS is_float, (CASE WHEN code = 101 THEN (nx + 1) // 2 ELSE size * nx END)::BIGINT AS row_bytes,
+    (CASE WHEN code = 101 THEN (nx + 1) // 2 ELSE size * nx END * ny * nz)::BIGINT AS data_size FROM t JOIN m USING (code)"""
 )
 def mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.createDataFrame([(c,) for c in (0, 1, 2, 3, 4, 6, 12, 101)], "code int")
+    """What is known of each mode, and the bytes of rows and volumes of several sizes."""
+    e = F.col("event_id")
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(e.alias("id"), F.expr(_CODES).alias("code"), (e % 9).alias("nx"), (e % 5).alias("ny"), (e % 4).alias("nz"))
     c = F.col("code")
-    size = M.data_size(F.lit(7), F.lit(5), F.lit(3), c)
-    return t.select("code", M.mode_name(c).alias("name"), M.mode_byte_size(c).alias("size"), M.mode_is_complex(c).alias("is_complex"), M.mode_is_integer(c).alias("is_integer"), M.mode_is_float(c).alias("is_float"), M.mode_bytes_for_count(c, F.lit(7)).alias("bytes_for_7"), size.alias("data_size"))
+    size = M.data_size(F.col("nx"), F.col("ny"), F.col("nz"), c)
+    return t.select("id", M.mode_name(c).alias("name"), M.mode_byte_size(c).alias("size"), M.mode_is_complex(c).alias("is_complex"), M.mode_is_integer(c).alias("is_integer"), M.mode_is_float(c).alias("is_float"), M.mode_bytes_for_count(c, F.col("nx")).alias("row_bytes"), size.alias("data_size"))
 
 
 @query(
@@ -458,5 +472,5 @@ def mode_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'header-' || id AS path, code IS NULL AS is_valid, (code IS NOT NULL)::BIGINT AS n_error, 0::BIGINT AS n_warning FROM e"""
 )
 def issue_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = header_rows(spark).select(F.concat(F.lit("header-"), F.col("id")).alias("path"), F.lit("little").alias("endian"), F.lit(True).alias("standard_stamp"), F.array().cast("array<string>").alias("warnings"), "*")
+    rows = header_rows(spark, sf_dir).select(F.concat(F.lit("header-"), F.col("id")).alias("path"), F.lit("little").alias("endian"), F.lit(True).alias("standard_stamp"), F.array().cast("array<string>").alias("warnings"), "*")
     return V.roll_up(V.header_issues(rows))
