@@ -53,6 +53,8 @@ WIDE_RADIUS = 60
 RECALL = 0.995
 #: Shingle sets that one text is compared with at once; texts of candidates in a task.
 COMPARED, TASK_TEXTS = 256, 20_000
+#: Rows of fingerprints that a task of the index holds, about.
+TASK_ROWS = 250_000
 FINER_BITS, FINER_TABLES = 6, 12
 
 
@@ -244,13 +246,14 @@ def edges_within(nodes: DataFrame) -> DataFrame:
     ship(spark)
     zero = F.lit(0).cast("long")
     rows = nodes.select("fp", F.explode(_deal(F.col("fp"), 64, zero, 0)).alias("d")).select("fp", "d.key", "d.rest")
-    done = []
+    done, total = [], BLOCKS * nodes.count()
     for width, shift in ((48, 18), (36, 32)):
-        large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_GROUP).select(F.col("key").alias("large_key")))
-        n_large = large.limit(BROADCAST_GROUPS + 1).count()
+        large = cut(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_GROUP).select(F.col("key").alias("large_key"), "n"))
+        n_large, again = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
         if not n_large:
             break
-        right = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+        total += (BLOCKS - 1) * again
+        right = F.broadcast(large.drop("n")) if n_large <= BROADCAST_GROUPS else large.drop("n")
         marked = rows.join(right, F.col("key") == F.col("large_key"), "left")
         done.append(marked.where(F.col("large_key").isNull()).select("fp", "key"))
         again = marked.where(F.col("large_key").isNotNull())
@@ -258,8 +261,7 @@ def edges_within(nodes: DataFrame) -> DataFrame:
     rows = rows.select("fp", "key")
     for x in done:
         rows = rows.unionByName(x)
-    n = nodes.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // 100_000)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
@@ -294,8 +296,8 @@ def _sampled(raw: np.ndarray, picks: np.ndarray) -> np.ndarray:
     return np.stack([bits[:, p].astype(np.int64) @ weights for p in picks], axis=1)
 
 
-def dealt_by_samples(nodes: DataFrame, n: int) -> DataFrame:
-    """(fp, k0, k1): a row for each wide fingerprint ``fp`` and each group that it is in, by the plan for n fingerprints.
+def dealt_by_samples(nodes: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """(fp, k0, k1): a row for each wide fingerprint ``fp`` and each group that it is in, by the plan for n fingerprints; and how many rows.
 
     Groups of more than LARGE_GROUP are dealt again by further bits, in tables of their own.
     """
@@ -325,23 +327,22 @@ def dealt_by_samples(nodes: DataFrame, n: int) -> DataFrame:
 
     schema = "fp binary, k0 long, k1 long"
     rows = map_arrow(nodes.select("fp"), deal, schema)
-    large = cut(rows.groupBy("k0").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_GROUP).select(F.col("k0").alias("large_key")))
-    n_large = large.limit(BROADCAST_GROUPS + 1).count()
+    large = cut(rows.groupBy("k0").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LARGE_GROUP).select(F.col("k0").alias("large_key"), "n"))
+    n_large, n_again = large.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_large:
-        right = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+        right = F.broadcast(large.drop("n")) if n_large <= BROADCAST_GROUPS else large.drop("n")
         marked = rows.join(right, F.col("k0") == F.col("large_key"), "left")
         again = map_arrow(marked.where(F.col("large_key").isNotNull()).select("fp", "k0", "k1"), deal_again, schema)
         rows = marked.where(F.col("large_key").isNull()).select("fp", "k0", "k1").unionByName(again)
-    return rows
+    return rows, n * tables + (FINER_TABLES - 1) * n_again
 
 
 def edges_by_samples(nodes: DataFrame) -> DataFrame:
     """(u, v): edges that connect wide fingerprints ``fp`` that differ in at most WIDE_RADIUS bits and agree in the bits of a table."""
     spark = nodes.sparkSession
     ship(spark)
-    n = nodes.count()
-    rows = dealt_by_samples(nodes, n)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * sample_plan(n)[1] // 250_000)
+    rows, total = dealt_by_samples(nodes, nodes.count())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(b"".join(b.column(0).to_pylist()), np.asarray(b.column(1)), np.asarray(b.column(2))) for b in batches if b.num_rows]
@@ -404,7 +405,7 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     held = texts.join(F.broadcast(right) if n_members <= BROADCAST_GROUPS else right, F.col("n") == F.col("of_n"))
     rows = held.where(~F.col("again")).select("fp", "text", "k0", F.lit(-1).cast("long").alias("k1"))
     if n_large:
-        dealt = dealt_by_samples(marked.where("again").select(F.col("node").alias("fp")), nodes.count()).withColumnRenamed("fp", "node")
+        dealt = dealt_by_samples(marked.where("again").select(F.col("node").alias("fp")), nodes.count())[0].withColumnRenamed("fp", "node")
         rows = rows.unionByName(held.where("again").select("fp", "text").join(dealt, F.col("fp") == F.col("node")).select("fp", "text", "k0", "k1"))
 
     def links(fps: list[bytes], sets: list[np.ndarray]) -> pa.RecordBatch:
