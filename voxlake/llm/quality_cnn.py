@@ -33,8 +33,8 @@ EPOCHS, BATCH, RATE = 8, 48, 0.01
 #: Share of the training documents that are cut short each time.
 SHORTEN = 0.3
 RUN = 1 << 19
-#: Cells that are filtered at once (96 numbers a pair of bytes), and chunks in training.
-CELLS_AT_ONCE, CHUNKS_AT_ONCE = 1 << 13, 512
+#: Cells that are filtered at once (96 numbers a pair of bytes, 3 MB: larger slices leave the cache), and chunks in training.
+CELLS_AT_ONCE, CHUNKS_AT_ONCE = 512, 512
 THRESHOLD = 0.7
 
 
