@@ -13,7 +13,7 @@ from voxlake.operators import regions as R
 from voxlake.operators import tools
 from voxlake.operators import validate as V
 from voxlake.plans import virtual as P
-from voxlake.plans.queries import EI, EM, STATS, _stats
+from voxlake.plans.queries import EC, EI, EM, EV, STATS, _stats
 from voxlake.session import fresh_path
 from voxlake.sources.sink import VolumeBuilder, write_volume
 from voxlake.sources.volumetric import read_blocks, read_headers, read_through_spark, read_voxels
@@ -238,6 +238,58 @@ def file_recompressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_voxels(spark, folder).groupBy("z").agg(*_stats())
 
 
+@query(f"{EI} SELECT z, sum((i16 & 255) + ((i16 >> 8) & 255))::BIGINT AS total, 200::INT AS bytes FROM ei GROUP BY z")
+def file_raw_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored bytes of each section."""
+    from voxlake.functions import convert as C
+
+    rows = read_blocks(spark, _events_file(spark, sf_dir, "i16", 1), valueType="raw")
+    total = F.aggregate(C.stored_ints(F.col("data"), 1, "little", False), F.lit(0).cast("long"), lambda s, v: s + v)
+    return rows.select(F.col("oz").alias("z"), total.alias("total"), F.octet_length("data").alias("bytes"))
+
+
+@query(f"{EV} SELECT z, y, x, round_even(value::FLOAT::DOUBLE, 0)::SMALLINT AS value FROM ev")
+def file_read_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Float voxels read as integers, halves to the nearest even one."""
+    v = P.events_volume(spark, sf_dir).select(F.lit("evt").alias("path"), "z", "y", "x", F.col("value").cast("float").alias("value"))
+    return read_voxels(spark, _write_events(spark, sf_dir, v, 2), valueType="short", rounding="half_even").select("z", "y", "x", "value")
+
+
+@query(f"{EI} SELECT z, sum((u4 - 8)::INT & 255)::BIGINT AS unsigned_total, sum(u4 - 8)::BIGINT AS signed_total FROM ei GROUP BY z")
+def file_mode0_signedness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of mode 0, read as either."""
+    v = P.events_integers(spark, sf_dir).select(F.lit("evt").alias("path"), "z", "y", "x", (F.col("u4") - 8).cast("tinyint").alias("value"))
+    folder = _write_events(spark, sf_dir, v, 0)
+    kinds = [read_voxels(spark, folder, m0=m).groupBy("z").agg(F.sum("value").cast("long").alias(f"{m}_total")) for m in ("unsigned", "signed")]
+    return kinds[0].join(kinds[1], "z")
+
+
+@query(f"{EC} SELECT z, count(*)::BIGINT AS n, round(sum(re::FLOAT::DOUBLE), 4) AS re, round(sum(im), 4) AS im, round(sum(atan2(im, re::FLOAT::DOUBLE)::FLOAT::DOUBLE), 3) AS phase FROM ec GROUP BY z")
+def file_complex_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Complex voxels read by real part, imaginary part and phase."""
+    pair = F.struct(F.col("re").cast("float").alias("re"), F.col("im").cast("float").alias("im"))
+    v = P.events_complex(spark, sf_dir).join(P.events_volume(spark, sf_dir).select("idx", "y", "x"), "idx").select(F.lit("c").alias("path"), "z", "y", "x", pair.alias("value"))
+    folder = _write_events(spark, sf_dir, v, 4)
+    parts = [(s, a, read_blocks(spark, folder, valueType="float", complexStrategy=s)) for s, a in (("real", "re"), ("imaginary", "im"), ("phase", "phase"))]
+    out = parts[0][2].select(F.col("oz").alias("z"), F.size("data").cast("long").alias("n"))
+    for s, a, rows in parts:
+        total = F.aggregate("data", F.lit(0.0), lambda t, x: t + x.cast("double"))
+        out = out.join(rows.select(F.col("oz").alias("z"), F.round(total, 3 if a == "phase" else 4).alias(a)), "z")
+    return out
+
+
+@query(
+    """WITH t AS (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z ]', '', 'g'), 1, 240) AS s FROM documents WHERE doc_id % 7 = 0)
+    SELECT doc_id, k::INT AS section, trim(substr(rpad(s, 240, ' '), 80 * k::INT + 1, 80)) AS text FROM t, range(0, 3) r(k)"""
+)
+def exthdr_ccp4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of 80 characters, cut from texts."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id % 7 = 0")
+    clean = F.rpad(F.substring(F.regexp_replace("text", "[^A-Za-z ]", ""), 1, 240), 240, " ")
+    v = docs.select(F.col("doc_id").cast("string").alias("path"), F.lit("CCP4").alias("exttyp"), clean.cast("binary").alias("ext_header"))
+    return X.extended_records(v, "CCP4").select(F.col("path").cast("long").alias("doc_id"), "section", "text")
+
+
 @query("SELECT true AS is_valid, 0::BIGINT AS n_error, 0::BIGINT AS n_warning")
 def file_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.roll_up(tools.validate(spark, _embeddings_file(spark, sf_dir))).drop("path")

@@ -281,6 +281,24 @@ for _n, _e, _s in (("decode_i16_le", "little", True), ("decode_i16_be", "big", T
     _word_query(_n, _e, _s)
 
 
+def _swapped(name: str, width: int) -> None:
+    def f(spark: SparkSession, sf_dir: str) -> DataFrame:
+        size = F.floor(F.octet_length("raw") / width).cast("int") * width
+        raw = P.text_bytes(spark, sf_dir).where(F.octet_length("raw") >= width).select("doc_id", C.swap_bytes(F.substring("raw", F.lit(1), size), F.lit(width)).alias("raw"))
+        return _byte_sums(raw.select("doc_id", F.posexplode(C.stored_ints(F.col("raw"), 1, "little", False)).alias("i", "v")), F.col("v"))
+
+    f.__name__ = name
+    query(
+        f"""WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE strlen(text) >= {width}), b AS (SELECT doc_id, unnest(range(0, len(h) // {2 * width} * {width})) AS i, h FROM h),
+        d AS (SELECT doc_id, i, ('0x' || substr(h, 2 * (i // {width} * {width} + {width - 1} - i % {width})::INT + 1, 2))::INT AS v FROM b)
+        SELECT doc_id, count(*)::BIGINT AS n, sum(v)::BIGINT AS total, sum(v * (i % 1000))::BIGINT AS weighted FROM d GROUP BY doc_id"""
+    )(f)
+
+
+for _n, _w in (("swap_bytes_2", 2), ("swap_bytes_4", 4), ("swap_bytes_8", 8)):
+    _swapped(_n, _w)
+
+
 @query(f"{EI} SELECT idx, u16::SMALLINT AS v FROM ei WHERE u16 < 256")
 def u16_to_u8_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.events_integers(spark, sf_dir).where("u16 < 256").select("idx", C.u16_to_u8(F.col("u16")).alias("v"))
@@ -296,9 +314,13 @@ def u8_to_u16(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.events_integers(spark, sf_dir).select("idx", C.u8_to_u16(F.col("u4")).alias("v"))
 
 
-@query(None)
+# eleven significant bits, ties to even; values of normal size, which the events have
+@query(
+    f"""{EV}, f AS (SELECT idx, value::FLOAT::DOUBLE AS x FROM ev), e AS (SELECT idx, x, pow(2.0, floor(log2(abs(x))) - 10) AS unit FROM f WHERE x <> 0),
+    q AS (SELECT idx, x / unit AS k, floor(x / unit) AS low, unit FROM e)
+    SELECT idx, ((CASE WHEN k - low > 0.5 OR (k - low = 0.5 AND low % 2 <> 0) THEN low + 1 ELSE low END) * unit)::FLOAT AS v FROM q UNION ALL SELECT idx, 0::FLOAT FROM f WHERE x = 0"""
+)
 def f32_to_f16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half precision has no SQL type; tested against numpy."""
     return P.events_volume(spark, sf_dir).select("idx", C.float_to_f16(F.col("value").cast("float")).alias("v"))
 
 
