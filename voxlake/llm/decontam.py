@@ -141,17 +141,17 @@ class BlockMaxIndex:
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All (entry, score) with a score of at least ``threshold`` for a query of distinct terms."""
         out = []
-        size = self.block
-        lists = {t: self.list_of(t) for t in terms}
-        bounds = {t: x[3] for t, x in lists.items()}
-        block_bounds = {t: x[2] for t, x in lists.items()}
-        cursors = [[lists[t][0][0], 0, t] for t in terms]  # entry, place in the list, term
+        size, kept = self.block, self.listed.get
+        cursors = []  # entry, place in the list, term, its lists
+        for t in terms:
+            lists = kept(t) or self.list_of(t)
+            cursors.append([lists[0][0], 0, t, lists])
         slack = threshold * (1 - 1e-9)
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
             for k, c in enumerate(cursors):
-                bound += bounds[c[2]]
+                bound += c[3][3]
                 if bound >= slack:
                     pivot = k
                     break
@@ -161,9 +161,9 @@ class BlockMaxIndex:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == entry:
                 pivot += 1
             block = entry // size
-            if sum(block_bounds[c[2]][block] for c in cursors[: pivot + 1]) >= slack:
+            if sum([c[3][2][block] for c in cursors[: pivot + 1]]) >= slack:
                 if cursors[0][0] == entry:
-                    score = sum(lists[c[2]][1][c[1]] for c in cursors[: pivot + 1])
+                    score = sum([c[3][1][c[1]] for c in cursors[: pivot + 1]])
                     if score >= slack:
                         out.append((entry, score))
                     target = entry + 1
@@ -178,7 +178,7 @@ class BlockMaxIndex:
             stay = []
             for k, c in enumerate(cursors):
                 if k <= pivot and c[0] < target:
-                    p = lists[c[2]][0]
+                    p = c[3][0]
                     at = bisect_left(p, target, c[1])
                     if at == len(p):
                         continue
@@ -247,7 +247,10 @@ class BlockMaxIndex:
         begins = np.searchsorted(cell, left), np.searchsorted(cell, left + CELLS)
         of = np.searchsorted(base, left, side="right") - 1
         for w, lo, hi, d in zip(left.tolist(), *(b.tolist() for b in begins), of.tolist(), strict=True):
-            out.append((d, (w - int(base[d])) * CELL, np.unique(term[lo:hi]).tolist()))
+            terms = np.unique(term[lo:hi])
+            # a word that is in several cells counts once
+            if self.block_max[terms].sum(axis=0).max() >= MIN_SCORE * (1 - 1e-5):
+                out.append((d, (w - int(base[d])) * CELL, terms.tolist()))
         return out
 
     def find(self, texts: pa.Array) -> list[list[int | None]]:
