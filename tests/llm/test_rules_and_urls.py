@@ -233,3 +233,10 @@ def test_verdicts_equal_an_exact_estimator_and_need_its_covariance(spark):
     good = [k for i, k in zip(staged["doc_id"], verdict, strict=True) if labels.get(i) == 1]
     bad = [k for i, k in zip(staged["doc_id"], verdict, strict=True) if labels.get(i) == 0]
     assert np.mean(good) > 0.98 and np.mean(bad) < 0.1
+
+
+def test_estimates_joined_by_shuffle_give_the_same(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = sorted(map(tuple, Q.quality_verdicts(docs).collect()))
+    monkeypatch.setattr(Q, "BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, Q.quality_verdicts(docs).collect())) == want

@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.llm.common import map_arrow, packed, runs, table
-from voxlake.session import cut, stage
+from voxlake.session import cut, release, stage
 
 WINDOW = 8
 GRID = 512
 #: Steps of a group end when the logarithm of its determinant falls no more than that, or after so many; the best start goes on after two.
-STEPS, TRIALS, LEAST_FALL = 25, 2, 1e-3
+STEPS, TRIALS, LEAST_FALL = 25, 2, 1e-2
 #: Rows are rejected beyond this quantile of chi-square: real statistics have longer tails than normal ones.
 TAIL = 1 - 1e-10
 #: Rows within this quantile give the final estimate.
@@ -56,8 +56,8 @@ PRIOR_ROWS = 50
 PRIOR = (0.1, 0.3, 0.2, 1.0, 0.4, 0.4)
 #: Distance bins: 32 for each doubling.
 BINS, TOP_BIN = 32, 1600
-#: Estimates of so many groups at most (under 40 MB) are broadcast; beyond it they are joined by shuffle.
-BROADCAST_GROUPS = 30_000
+#: Estimates of so many groups at most (three of 1 KB each) are held on the driver and broadcast; beyond it they are joined by shuffle.
+BROADCAST_GROUPS = 5_000
 #: Texts of more words are searched for repeats in arrays instead of sets of tuples.
 LONG_TEXT = 200_000
 
@@ -262,6 +262,29 @@ def _by_bin(placed: DataFrame, bins: F.Column) -> DataFrame:
     return placed.groupBy("g0", "g1", "start", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n"), *moments)
 
 
+def _advance(vectors: DataFrame, estimates: DataFrame, bins: F.Column, step: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], small: bool) -> DataFrame:
+    """All estimates, those that are not done after ``step`` on the counts and moments of their rows by bin.
+
+    With few groups (``small``) the estimates are held on the driver; else they are a written table.
+    """
+    spark = vectors.sparkSession
+    going = estimates.where(~F.col("done")).select("g0", "g1", "start", "center", "inverse")
+    moved = _by_bin(_with_estimate(vectors, going, small), bins).groupBy("g0", "g1")
+    if not small:
+        return stage(moved.cogroup(estimates.toDF(*NAMES).groupBy("g0", "g1")).applyInPandas(step, ESTIMATE), "estimates")
+    rows = [list(r) for r in estimates.collect()]
+    held: dict[tuple, list] = {}
+    for r in rows:
+        held.setdefault((r[0], r[1]), []).append(r)
+    shared = spark.sparkContext.broadcast(held)
+
+    def of_group(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return step(pdf, pd.DataFrame(shared.value[key], columns=NAMES))
+
+    new = [list(r) for r in moved.applyInPandas(of_group, ESTIMATE).collect()]
+    return spark.createDataFrame([*new, *(r for r in rows if r[NAMES.index("done")])], ESTIMATE)
+
+
 def estimate(vectors: DataFrame, targets: DataFrame) -> DataFrame:
     """Estimates of all groups (g0, g1) of ``vectors``; ``targets`` has g0, t_center (may be empty) and t_cov."""
     values = F.explode(F.array(*(F.struct(F.lit(i).alias("k"), F.col(f"x{i}").alias("v")) for i in range(P))))
@@ -279,15 +302,13 @@ def estimate(vectors: DataFrame, targets: DataFrame) -> DataFrame:
     estimates = cut(named.mapInPandas(lambda parts: map(_starts, parts), ESTIMATE))
     for trial in range(1, STEPS + 1):
         bins = F.least(F.floor(BINS * F.log2(1 + F.greatest(_distance(), F.lit(0.0)))), F.lit(TOP_BIN)).cast("int")
-        going = estimates.where(~F.col("done")).select("g0", "g1", "start", "center", "inverse")
-        pairs = _by_bin(_with_estimate(vectors, going, small), bins).groupBy("g0", "g1").cogroup(estimates.toDF(*NAMES).groupBy("g0", "g1"))
-        # a written table, since a checkpoint would carry the filters of all steps before
-        estimates = stage(pairs.applyInPandas(_next(trial), ESTIMATE), "estimates")
+        estimates = _advance(vectors, estimates, bins, _next(trial), small)
         if trial > TRIALS and estimates.where(~F.col("done")).isEmpty():
             break
     inner = F.when(_distance() <= chi2_quantile(CORE, P), 0).otherwise(1)
-    pairs = _by_bin(_with_estimate(vectors, estimates.select("g0", "g1", "start", "center", "inverse"), small), inner).groupBy("g0", "g1").cogroup(estimates.toDF(*NAMES).groupBy("g0", "g1"))
-    return cut(pairs.applyInPandas(_final, ESTIMATE))
+    out = cut(_advance(vectors, estimates.withColumn("done", F.lit(False)), inner, _final, small))
+    release(vectors.sparkSession)
+    return out
 
 
 def _with_estimate(rows: DataFrame, estimates: DataFrame, small: bool, how: str = "inner") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.llm.common import map_arrow, packed, runs, table, with_value
-from voxlake.session import cut, ship, stage
+from voxlake.session import cut, release, ship, stage
 
 RADIUS = 3
 #: Blocks are one more than the radius, at each level, of the bits that the levels before have left.
@@ -449,6 +449,7 @@ def star_components(edges: DataFrame) -> DataFrame:
         now = cut(small)
         seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if seen == mark:
+            release(now.sparkSession)
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, total = seen, 2 * seen[0]
 
