@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -91,6 +92,16 @@ def _remove_fresh() -> None:
     _FRESH.clear()
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files and broadcasts of finished steps.
+
+    Its cleaner works when the driver's JVM collects garbage, which may be half an hour after a
+    loop of many small jobs; until then their files stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint; for narrow tables that are used more than once."""
     shared_dir(df.sparkSession)
