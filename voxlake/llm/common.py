@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,14 @@ def runs(batch: pa.RecordBatch, column: int, limit: int = RUN_BYTES) -> Iterator
     yield batch.slice(first)
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the machine: workers are kept for further tasks, and two may share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` of a function from a batch to an iterator of batches."""
     ship(df.sparkSession)
@@ -40,6 +51,7 @@ def map_arrow(df: DataFrame, f: Callable, schema: T.StructType | str) -> DataFra
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from f(batch)
+        tidy()
 
     return df.mapInArrow(each, schema)
 

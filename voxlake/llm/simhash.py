@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.llm.common import map_arrow, packed, runs, table, with_value
+from voxlake.llm.common import map_arrow, packed, runs, table, tidy, with_value
 from voxlake.session import cut, release, ship, stage
 
 RADIUS = 3
@@ -270,6 +270,7 @@ def edges_within(nodes: DataFrame) -> DataFrame:
             u, v = link_groups(keys, fps.view(np.uint64))
             for lo in range(0, len(u), 100_000):
                 yield table({"u": (u[lo : lo + 100_000].view(np.int64), pa.int64()), "v": (v[lo : lo + 100_000].view(np.int64), pa.int64())})
+        tidy()
 
     return rows.repartition(parts, "key").mapInArrow(each, "u long, v long").distinct()
 
@@ -356,6 +357,7 @@ def edges_by_samples(nodes: DataFrame) -> DataFrame:
         u, v = (x.astype(">u8") for x in link_groups(group, fps, WIDE_RADIUS))
         for lo in range(0, len(u), 50_000):
             yield table({c: ([x.tobytes() for x in w[lo : lo + 50_000]], pa.binary()) for c, w in (("u", u), ("v", v))})
+        tidy()
 
     return rows.repartition(parts, "k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
 
@@ -425,6 +427,7 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
                     sets.append(shingle_set(text, shingle))
         if len(fps) > 1:
             yield links(fps, sets)
+        tidy()
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_members // TASK_TEXTS)
     return rows.repartition(parts, "k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
