@@ -14,6 +14,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Paths in the shared folder that this driver has made.
 _FRESH: list[str] = []
 
@@ -31,8 +32,15 @@ def builder(app: str = "voxlake", cores: int | None = None) -> SparkSession.Buil
     )
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB where the session has Spark's default of 64: several tasks and their Python workers share an executor."""
+    if spark.conf.get(_BATCH) in ("64MB", "64m", "67108864b", str(64 << 20)):
+        spark.conf.set(_BATCH, "8m")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's source to the executors, once per application."""
+    small_batches(spark)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
