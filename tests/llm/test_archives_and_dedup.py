@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import os
 import random
 import resource
+import time
 from collections import Counter
 
 import numpy as np
@@ -151,6 +153,52 @@ def test_star_steps_split_a_large_component(spark):
     assert len(sizes) == 4 and max(sizes) < 1.1 * n / 4
 
 
+@pytest.mark.parametrize("broadcast", [simhash.BROADCAST_NODES, 0])
+def test_star_steps_equal_a_search(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(simhash, "BROADCAST_NODES", broadcast)
+    r = random.Random(3)
+    edges = [(r.randrange(900), r.randrange(900)) for _ in range(500)] + [(k, k - 1) for k in range(1001, 1070)] + [(2000 + k, 2000) for k in range(300)]
+    near: dict = {}
+    for u, v in edges:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    root: dict = {}
+    for first in sorted(near):
+        todo = [first]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = first
+                todo += near[x]
+    want = Counter((x, y) for x, y in root.items() if x != y)
+    assert Counter(map(tuple, simhash.star_components(spark.createDataFrame(edges, "u long, v long")).collect())) == want
+
+
+def test_star_steps_release_their_shuffle_files(spark, monkeypatch):
+    """However many steps a long path takes, the files of one are on disk (those before are removed in the background)."""
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def on_disk():
+        return {f.split("_")[1] for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_")}
+
+    simhash.release(spark)
+    time.sleep(2)
+    before, left, cut = on_disk(), [], simhash.cut
+
+    def watched(df):
+        out = cut(df)
+        end = time.time() + 5
+        while len(on_disk() - before) > 10 and time.time() < end:
+            time.sleep(0.1)
+        left.append(len(on_disk() - before))
+        return out
+
+    monkeypatch.setattr(simhash, "cut", watched)
+    path = spark.range(1, 2000).select(F.col("id").alias("u"), (F.col("id") - 1).alias("v"))
+    assert simhash.star_components(path).where("root = 0").count() == 1999
+    assert len(left) > 5 and max(left) <= 10, str(left)
+
+
 def test_gray_rank():
     x = np.arange(256, dtype=np.uint64)
     assert np.array_equal(simhash.gray_rank(x ^ (x >> np.uint64(1))), x)

@@ -38,6 +38,8 @@ BLOCKS = RADIUS + 1
 LARGE_GROUP = 4096
 #: Large groups' keys are broadcast up to this number (16 MB), else joined by shuffle.
 BROADCAST_GROUPS = 500_000
+#: Least neighbours of so many nodes at most (about 10 MB of wide fingerprints) are broadcast whole in star steps, else those of hot nodes alone.
+BROADCAST_NODES = 50_000
 FAN = 8
 #: Fingerprints of more rows are joined apart: by broadcast below BROADCAST_GROUPS of them, else by salt.
 HOT_COPIES, SALTS = 1000, 64
@@ -433,23 +435,44 @@ def similar_edges(nodes: DataFrame, texts: DataFrame, shingle: int) -> DataFrame
     return rows.repartition(parts, "k0", "k1").sortWithinPartitions("k0", "k1").mapInArrow(each, "u binary, v binary").distinct()
 
 
-def star_components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that is not its component's least node, by alternating star steps."""
+def _with_least(rows: DataFrame, key: str, spread: str, least: DataFrame, total: int) -> DataFrame:
+    """``with_value`` of at most ``total`` keys: few are broadcast, all of them, which needs no shuffle of the rows."""
+    if total > BROADCAST_NODES:
+        return with_value(rows, key, spread, least, total)
+    return rows.join(F.broadcast(least.select("of", "value")), F.col(key) == F.col("of"), "left").select(*rows.columns, "value")
+
+
+def _both(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): each of the named pairs of columns of every row; the rows are computed once, as they would not be for a union."""
+    each = F.array(*(F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in pairs))
+    return rows.select(F.explode(each).alias("pair")).select("pair.u", "pair.v")
+
+
+def _star_step(now: DataFrame, total: int) -> DataFrame:
+    """The edges (u, v), u > v, after a large and a small star step; ``total`` is twice their number."""
 
-    def with_least(pairs: DataFrame, total: int) -> DataFrame:
+    def with_least(pairs: DataFrame) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("u", "of")
-        return with_value(pairs, "u", "v", least, total)
+        return _with_least(pairs, "u", "v", least, total)
 
+    # large star: neighbours above a node point to the least of it and its neighbours
+    both = _both(now, ("u", "v"), ("v", "u"))
+    big = with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "value").alias("v")).where("u <> v").distinct()
+    # small star: a node and its lower neighbours point to the least of these
+    return cut(_both(with_least(big), ("v", "value"), ("u", "value")).where("u <> v").distinct())
+
+
+def star_components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node that is not its component's least node, by alternating star steps.
+
+    Each step's shuffle files are released before the next, so that disk holds those of one,
+    however many there are.
+    """
     now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     mark, total = None, 2 * now.count()
     while True:
-        # large star: neighbours above a node point to the least of it and its neighbours
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        big = with_least(both, total).where("v > u").select(F.col("v").alias("u"), F.least("u", "value").alias("v")).where("u <> v").distinct()
-        # small star: a node and its lower neighbours point to the least of these
-        joined = with_least(big, total)
-        small = joined.select("v", "value").unionByName(joined.select(F.col("u").alias("v"), "value")).where("v <> value").select(F.col("v").alias("u"), F.col("value").alias("v")).distinct()
-        now = cut(small)
+        release(now.sparkSession)
+        now = _star_step(now, total)
         seen = tuple(now.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if seen == mark:
             release(now.sparkSession)
@@ -465,7 +488,7 @@ def components(rows: DataFrame, edges: Callable[[DataFrame], DataFrame] = edges_
     firsts = members.join(nodes, F.col("node") == F.col("fp")).select("node", "root", "first")
     firsts = cut(firsts)
     least = firsts.groupBy("root").agg(F.min("first").alias("value"), F.count(F.lit(1)).alias("n")).withColumnRenamed("root", "of")
-    linked = with_value(firsts, "root", "node", least, firsts.count()).select("node", F.col("value").alias("component"))
+    linked = _with_least(firsts, "root", "node", least, firsts.count()).select("node", F.col("value").alias("component"))
     named = cut(nodes.join(linked, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("of_fp"), F.coalesce("component", "first").alias("component"), "copies"))
     # a fingerprint that many rows share must not bring them together in one task
     hot = named.where(F.col("copies") > HOT_COPIES).select(F.col("of_fp").alias("hot_fp"), F.col("component").alias("hot_component"))

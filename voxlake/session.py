@@ -7,6 +7,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -104,9 +105,13 @@ def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files and broadcasts of finished steps.
 
     Its cleaner works when the driver's JVM collects garbage, which may be half an hour after a
-    loop of many small jobs; until then their files stay on the executors' disks.
+    loop of many small jobs; until then their files stay on the executors' disks. It keeps what
+    Python still refers to, and py4j tells it what Python has freed from a thread that may sleep a second.
     """
     gc.collect()
+    untold, end = getattr(spark.sparkContext._gateway._gateway_client, "finalizer_deque", None), time.monotonic() + 2
+    while untold and time.monotonic() < end:
+        time.sleep(0.02)
     spark.sparkContext._jvm.System.gc()
 
 
