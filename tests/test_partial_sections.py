@@ -13,6 +13,7 @@ TABLES = {
 NAMES = [
     "file_block_pushdown",
     "file_gzip_subvolume_stats",
+    "file_header_stats",
 ]
 
 
@@ -31,3 +32,15 @@ def test_query_equals_sql(spark, table, name):
     ours, sql = catalogue.QUERIES[name](spark, folder).toPandas(), duck.execute(catalogue.SQL[name]).df()
     assert sorted(ours.columns) == sorted(sql.columns)
     assert rows(ours) == rows(sql)
+
+
+def test_statistics_of_blocks_leave_filling_out(spark, tmp_path):
+    from voxlake.sources.sink import VolumeBuilder, write_volume
+    from voxlake.sources.volume_file import open_volume
+
+    at = [("v", 1, 1, z, 2, 1, 1, [3.0 + z, 5.0 + z]) for z in (1, 4)]
+    blocks = spark.createDataFrame(at, "path string, ox int, oy int, oz int, sx int, sy int, sz int, data array<float>")
+    for statistics, low, mean in (("blocks", 4.0, 6.5), ("file", 0.0, 26 / 96)):
+        write_volume(blocks, str(tmp_path / statistics), VolumeBuilder((4, 4, 6)), statistics=statistics, sections_per_part=4)
+        h = open_volume(str(tmp_path / statistics / "v.vol")).header
+        assert (h.dmin, h.dmax) == (low, 9.0) and h.dmean == pytest.approx(mean)

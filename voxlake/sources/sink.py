@@ -4,7 +4,8 @@ A volume is written by many tasks: each lays the blocks of a range of sections i
 after another, takes the moments of each, and writes their bytes (compressed on their own, if
 asked for) as a part under a temporary name in the target folder. The commit on the driver merges
 the moments of all parts, writes header and parts as one file, and moves it to its name; sections
-without a block are zeros. Tasks may run twice and a failed job leaves nothing.
+without a block are zeros. Tasks may run twice and a failed job leaves nothing. The header's statistics
+are those of the whole file; with ``statistics`` "blocks", of the voxels that blocks gave.
 
 Voxels must have the file's type: signed bytes for mode 0, shorts for 1, unsigned shorts (as ints, or
 bytes from 0 to 255 as shorts) for 6, pairs for 3 and 4, 0 to 15 for 101. Floats are converted to
@@ -180,13 +181,15 @@ def header_stats(parts: list[tuple[Moments, Moments]], is_complex: bool) -> tupl
 class Sections:
     """Writes sections, in order, from blocks that come in the order of their first section."""
 
-    def __init__(self, builder: VolumeBuilder, sink: io.IOBase, convert: bool = False) -> None:
-        self.builder, self.sink, self.convert = builder, sink, convert
+    def __init__(self, builder: VolumeBuilder, sink: io.IOBase, convert: bool = False, statistics: str = "file") -> None:
+        self.builder, self.sink, self.convert, self.statistics = builder, sink, convert, statistics
         self.mode = mode_of(builder.mode)
         nx, ny, _ = builder.shape
         self.shape = (ny, nx, 2) if self.mode.is_complex else (ny, nx)
         self.kind = np.dtype("i1") if self.mode.code == 101 else dtype(self.mode, builder.endian)
         self.pending: dict[int, np.ndarray] = {}
+        #: Voxels that a block gave, of pending sections; only kept for their statistics.
+        self.given: dict[int, np.ndarray] = {}
         self.first = self.next = None
         self.moments: list[tuple[Moments, Moments]] = []
 
@@ -205,6 +208,8 @@ class Sections:
         for k in range(sz):
             section = self.pending.setdefault(oz + k, np.zeros(self.shape, self.kind))
             section[oy : oy + sy, ox : ox + sx] = values[k]
+            if self.statistics == "blocks":
+                self.given.setdefault(oz + k, np.zeros((ny, nx), bool))[oy : oy + sy, ox : ox + sx] = True
 
     def flush(self, upto: int) -> None:
         """Write all sections below ``upto``, from the first that has a block."""
@@ -213,10 +218,12 @@ class Sections:
                 self.first = self.next = z
             for section in (np.zeros(self.shape, self.kind) for _ in range(self.next, z)):
                 self._write(section)
-            self._write(self.pending.pop(z))
+            self._write(self.pending.pop(z), self.given.pop(z, None))
 
-    def _write(self, section: np.ndarray) -> None:
+    def _write(self, section: np.ndarray, given: np.ndarray | None = None) -> None:
         self.sink.write(pack_rows(section) if self.mode.code == 101 else section.tobytes())
+        if self.statistics == "blocks":
+            section = section[:0] if given is None else section[given]
         parts = [section[..., k] for k in (0, 1)] if self.mode.is_complex else [section, section[:0]]
         self.moments.append(tuple(map(moments, parts)))
         self.next += 1
@@ -267,6 +274,7 @@ class VolumeWriter(DataSourceArrowWriter):
         self.builder.build()
         self.compression = self.o.get("compression", "none").lower()
         self.level = self.o.get("compressionlevel", "balanced").lower()
+        self.statistics = self.o.get("statistics", "file").lower()
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, folder = open_fs(self.o["path"])
@@ -294,7 +302,7 @@ class VolumeWriter(DataSourceArrowWriter):
                     key, temporary = (name, at[2] // per_part), f"{folder}/_{uuid.uuid4().hex}"
                     sink = fs.open_output_stream(temporary)
                     packed = _compressor(sink, self.compression, self.level)
-                    sections = Sections(self.builder, packed or sink, convert)
+                    sections = Sections(self.builder, packed or sink, convert, self.statistics)
                 sections.put(tuple(at[:3]), tuple(at[3:]), columns["data"][i].values)
         close()
         return Written(parts)
@@ -307,7 +315,7 @@ class VolumeWriter(DataSourceArrowWriter):
         temporary = f"{os.path.dirname(name)}/_{uuid.uuid4().hex}"
         edges = [0, *(z for p in parts for z in (p.z0, p.z1)), self.builder.shape[2]]
         gaps = [b - a for a, b in zip(edges[::2], edges[1::2], strict=True)]
-        empty = Sections(self.builder, io.BytesIO())
+        empty = Sections(self.builder, io.BytesIO(), statistics=self.statistics)
         empty.zeros(min(1, max(gaps)))
         found = [m for p in parts for m in p.moments] + empty.moments * sum(gaps)
         blank = empty.sink.getvalue()
@@ -373,13 +381,13 @@ def by_section(blocks: DataFrame) -> DataFrame:
     return cut.withColumns({"data": own, "oz": (F.col("oz") + k).cast("int"), "sz": F.lit(1)}).drop("k")
 
 
-def write_volume(blocks: DataFrame, folder: str, builder: VolumeBuilder, compression: str = "none", level: str = "balanced", mode: str = "append", convert: bool = False, sections_per_part: int | None = None) -> None:
+def write_volume(blocks: DataFrame, folder: str, builder: VolumeBuilder, compression: str = "none", level: str = "balanced", mode: str = "append", convert: bool = False, sections_per_part: int | None = None, statistics: str = "file") -> None:
     """Write block rows as volumes, one for each value of ``path`` (or one); ranges of sections are dealt to tasks."""
     from voxlake.sources.volumetric import register
 
     register(blocks.sparkSession)
     rows = blocks if "path" in blocks.columns else blocks.withColumn("path", F.lit("volume"))
-    options = builder.options() | {"compression": compression, "compressionLevel": level, "convert": str(convert).lower()}
+    options = builder.options() | {"compression": compression, "compressionLevel": level, "convert": str(convert).lower(), "statistics": statistics}
     if sections_per_part:
         options["sectionsPerPart"] = str(sections_per_part)
     per_part = sections_of_part(builder, {k.lower(): v for k, v in options.items()})
