@@ -18,6 +18,7 @@ NAMES = [
     "file_pushdown",
     "file_recompressed",
     "file_region",
+    "file_slice_stats",
 ]
 
 
